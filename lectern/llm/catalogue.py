@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm.exact_dedup import exact_dedup
+from lectern.llm.simhash import simhash_components
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its SimHash fingerprint and near-duplicate component."""
+    return simhash_components(_table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the one that stays of its equal texts."""
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
 }
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm.exact_dedup import exact_dedup
 from lectern.llm.simhash import simhash_components
+from lectern.llm.token_counts import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +24,17 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document under the byte-level vocabulary."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        spec = file.read()
+    return token_counts(_table(spark, sf_dir, "documents"), spec, public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.llm.decontam import decontaminate
 from lectern.llm.exact_dedup import exact_dedup
 from lectern.llm.simhash import simhash_components
 from lectern.llm.token_counts import token_counts
@@ -24,6 +25,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words and items of the benchmark that it repeats."""
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document under the byte-level vocabulary."""
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
@@ -34,10 +40,30 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
 }
 
 ORACLES = {
+    "op9_decontamination": r"""
+        WITH RECURSIVE iw AS (
+            SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark WHERE text IS NOT NULL),
+        win AS (
+            SELECT DISTINCT item_id, array_to_string(list_slice(w, s, s + 12), ' ') AS v, least(len(w), 13) AS n
+            FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 12))) AS s FROM iw WHERE len(w) > 0)),
+        dw AS (
+            SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+            FROM documents),
+        sizes AS (SELECT DISTINCT n FROM win),
+        pos AS (SELECT rid, s, n, array_to_string(list_slice(w, s, s + n - 1), ' ') AS v
+                FROM (SELECT rid, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM dw, sizes WHERE len(w) >= n)),
+        occ AS (SELECT rid, s, pos.n, item_id FROM pos JOIN win USING (v)),
+        hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(generate_series(s, s + n - 1)) AS p FROM occ) GROUP BY rid),
+        it AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM occ GROUP BY rid)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM dw LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid)""",
     "op7_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
         g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY norm)

@@ -16,11 +16,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.shared import shared_path, write_once
-from lectern.llm.texts import arrow, steps, utf8
+from lectern.llm.texts import arrow, schema_of, steps, utf8
 
 #: Bits of the key that the directory can tell apart: its size is bounded by two to this power.
 DIRECTORY_BITS = 16
@@ -128,13 +128,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = own.schema["doc_id"].dataType.simpleString()
     spark = docs.sparkSession
-    log_schema = _arrow(spark, _LOG.format(id=id_type))
+    log_schema = schema_of(spark, _LOG.format(id=id_type))
     log = write_once(own.mapInArrow(_local_chains(log_schema), _LOG.format(id=id_type)), "exact-log")
     directory = build_directory(log, bucket_bytes)
     heads = log.where("first").select("rid", "doc_id", "key", "copies", "text", _slot()).join(F.broadcast(directory), "slot")
     owned = heads.repartition("bucket").sortWithinPartitions("key", F.col("doc_id").asc_nulls_last(), "rid").drop("slot", "bucket")
     link = f"head long, keep_id {id_type}, keep_rid long, copies long"
-    links = write_once(owned.mapInArrow(_owner(_arrow(spark, link)), link), "exact-links")
+    links = write_once(owned.mapInArrow(_owner(schema_of(spark, link)), link), "exact-links")
     sizes = links.groupBy("keep_rid").agg(F.sum("copies").alias("group_size"))
     named = links.drop("copies").join(sizes, "keep_rid")
     return (
@@ -142,10 +142,3 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .join(named, "head")
         .select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.col("sha").alias("text_sha256"))
     )
-
-
-def _arrow(spark, ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(ddl))

@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from lectern.llm.components import components
 from lectern.llm.shared import write_once
-from lectern.llm.texts import arrow, steps, utf8
+from lectern.llm.texts import arrow, schema_of, steps, utf8
 
 #: Bits of a half that the code covers, and its parity bits.
 _LENGTH, _PARITY = 31, 5
@@ -147,15 +147,14 @@ def near_links(distinct: DataFrame, distance: int = MAX_DISTANCE, block: int = 1
         raise ValueError(f"the covering finds distances up to {MAX_DISTANCE}")
     rows_schema, link_schema = "anchor long, fp long, home int", "a long, b long"
     spark = distinct.sparkSession
-    of = lambda ddl: to_arrow_schema(spark.createDataFrame([], ddl).schema)
-    rows = write_once(distinct.select("fp").mapInArrow(_anchors(of(rows_schema)), rows_schema), "anchors")
+    rows = write_once(distinct.select("fp").mapInArrow(_anchors(schema_of(spark, rows_schema)), rows_schema), "anchors")
     busy = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("home").alias("homes")).where("n > 1 and homes > 0")
     blocks = F.ceil(F.col("n") / block).cast("int")
     met = rows.join(busy, "anchor").select("anchor", "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("k"))
     dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "anchor", "fp", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j")
     )
-    return dealt.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j").mapInArrow(_compare(distance, of(link_schema)), link_schema)
+    return dealt.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j").mapInArrow(_compare(distance, schema_of(spark, link_schema)), link_schema)
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = MAX_DISTANCE, seed: int = 42) -> DataFrame:

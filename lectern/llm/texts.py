@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Text bytes that one step works on together; bounds what a task holds beside Arrow's own batch.
 STEP_BYTES = 8 << 20
@@ -29,6 +31,11 @@ def steps(batch: pa.RecordBatch, column: str, step_bytes: int = STEP_BYTES) -> I
         at = end
 
 
+def schema_of(spark: SparkSession, ddl: str) -> pa.Schema:
+    """The Arrow schema of columns written as in DDL."""
+    return to_arrow_schema(spark.createDataFrame([], ddl).schema)
+
+
 def arrow(schema: pa.Schema, **columns: object) -> pa.RecordBatch:
     """A batch of the schema from arrays or lists by name."""
     return pa.RecordBatch.from_arrays([x if isinstance(x := columns[f.name], pa.Array) else pa.array(x, f.type) for f in schema], schema=schema)

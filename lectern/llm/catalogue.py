@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm.decontam import decontaminate
 from lectern.llm.exact_dedup import exact_dedup
+from lectern.llm.quality import score_quality, train_quality
 from lectern.llm.simhash import simhash_components
 from lectern.llm.token_counts import token_counts
 
@@ -15,6 +16,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score, learnt from the labels that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality(docs, _table(spark, sf_dir, "labels")))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its SimHash fingerprint and near-duplicate component."""
     return simhash_components(_table(spark, sf_dir, "documents"))
@@ -38,6 +45,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_decontamination": op9_decontamination,

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm.decontam import decontaminate
 from lectern.llm.exact_dedup import exact_dedup
+from lectern.llm.language_id import predict_language, train_language_id
 from lectern.llm.quality import score_quality, train_quality
 from lectern.llm.simhash import simhash_components
 from lectern.llm.token_counts import token_counts
@@ -27,6 +28,12 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learnt from the documents that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    return predict_language(docs, train_language_id(docs))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the one that stays of its equal texts."""
     return exact_dedup(_table(spark, sf_dir, "documents"))
@@ -47,6 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_language_id": op6_language_id,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lectern.llm.chat_format import chat_digests, format_chats
 from lectern.llm.decontam import decontaminate
 from lectern.llm.exact_dedup import exact_dedup
+from lectern.llm.html_extract import extract_pages
 from lectern.llm.language_id import predict_language, train_language_id
 from lectern.llm.quality import score_quality, train_quality
 from lectern.llm.simhash import simhash_components
@@ -48,6 +49,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words and items of the benchmark that it repeats."""
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -66,6 +72,7 @@ QUERIES = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_language_id": op6_language_id,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_html_extraction": op8_html_extraction,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
 }

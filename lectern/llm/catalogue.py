@@ -11,6 +11,7 @@ from lectern.llm.exact_dedup import exact_dedup
 from lectern.llm.html_extract import extract_pages
 from lectern.llm.language_id import predict_language, train_language_id
 from lectern.llm.quality import score_quality, train_quality
+from lectern.llm.sentencepiece_codec import encode_texts
 from lectern.llm.simhash import simhash_components
 from lectern.llm.token_counts import token_counts
 
@@ -19,6 +20,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's piece ids, and whether decoding them gives its text again."""
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        return encode_texts(_table(spark, sf_dir, "documents"), file.read())
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one of control strings, read back from its formatted text."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -67,6 +74,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_chat_formatting": op2_chat_formatting,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,

@@ -13,6 +13,7 @@ from lectern.llm.language_id import predict_language, train_language_id
 from lectern.llm.quality import score_quality, train_quality
 from lectern.llm.sentencepiece_codec import encode_texts
 from lectern.llm.simhash import simhash_components
+from lectern.llm.substring_dedup import repeated_passages
 from lectern.llm.token_counts import token_counts
 
 
@@ -34,6 +35,11 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(format_chats(turns.union(more)))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words or more that near-repeats in another document."""
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score, learnt from the labels that are not held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -76,6 +82,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_language_id": op6_language_id,

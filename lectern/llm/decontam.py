@@ -124,7 +124,8 @@ def _mark(block: Broadcast, schema: pa.Schema):
                     n.append(len(words))
                     runs[i] = _merged([tuple(x) for x in zip(runs[i][::2], runs[i][1::2])] + more)
                     items[i] = sorted({*items[i], *names})
-                yield arrow(schema, doc_id=step.column("doc_id"), text=step.column("text"), n_words=n, runs=runs, items=items)  # the last pass leaves the text out
+                kept = {c: step.column(c) for c in schema.names if c not in ("n_words", "runs", "items")}
+                yield arrow(schema, **kept, n_words=n, runs=runs, items=items)
 
     return run
 
@@ -154,13 +155,13 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
         yield held
 
 
-def mark_windows(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_bytes: int = 8 << 20) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, runs (start, end, ... in words), items (sorted names)."""
+def mark_windows(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_bytes: int = 8 << 20, carry: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, runs (start, end, ... in words), items (sorted names); with carry, all of docs as the struct row too."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null")
     out = docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<int>").alias("runs"), F.array().cast("array<string>").alias("items"),
+        F.array().cast("array<int>").alias("runs"), F.array().cast("array<string>").alias("items"), *([F.struct("*").alias("row")] if carry else []),
     )
     counts = "shingle long, n long"
     blocks = _blocks(items, block_bytes)
@@ -180,17 +181,17 @@ def mark_windows(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_in: int = 20, **columns: str) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_in: int = 20, **options) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A word is hit if it lies inside an occurrence of a window: window consecutive words of an item, all of them
     if it has fewer, none if it has no word. contaminated: some word is hit, and one in one_in of all words at least.
     Null and empty texts have no words; repeated items count by name; repeated documents are judged each; an
-    empty benchmark hits nothing; other columns of either table are not read.
+    empty benchmark hits nothing; other columns of either table are not read. options are those of mark_windows.
     """
-    marked = mark_windows(docs, benchmark, window, **columns)
+    marked = mark_windows(docs, benchmark, window, **options)
     hit = F.aggregate(F.transform("runs", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
     return marked.select(
         "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), *([c for c in marked.columns if c == "row"]),
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * one_in >= F.col("n_words")))

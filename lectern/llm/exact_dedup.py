@@ -18,12 +18,14 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lectern.llm.shared import shared_path, write_once
 from lectern.llm.texts import arrow, schema_of, steps, utf8
 
 #: Bits of the key that the directory can tell apart: its size is bounded by two to this power.
 DIRECTORY_BITS = 16
+#: With the struct row of all columns where rows are carried.
 _LOG = "rid long, doc_id {id}, head long, head_id {id}, first boolean, sha string, key long, size long, copies long, text binary"
 
 
@@ -61,6 +63,7 @@ def _local_chains(schema: pa.Schema):
                     size=[len(x) if f else None for x, f in zip(texts, first)],
                     copies=[copies[x] if f else None for x, f in zip(texts, first)],
                     text=[x if f else None for x, f in zip(texts, first)],
+                    **({"row": step.column("row").take(pa.array([i if f else None for i, f in enumerate(first)], pa.int64()))} if "row" in schema.names else {}),
                 )
                 row += len(ids)
 
@@ -118,6 +121,22 @@ def _slot():
     return (F.shiftright("key", 64 - DIRECTORY_BITS) + (1 << (DIRECTORY_BITS - 1))).cast("int").alias("slot")
 
 
+def _linked(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int, carry: bool) -> tuple[DataFrame, DataFrame]:
+    """The log, and for each local head (head) the row and id that stay (keep_rid, keep_id) and its number of copies."""
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct("*").alias("row")] if carry else []))
+    id_type = own.schema["doc_id"].dataType.simpleString()
+    spark = docs.sparkSession
+    schema = spark.createDataFrame([], _LOG.format(id=id_type)).schema
+    if carry:
+        schema = schema.add("row", own.schema["row"].dataType, True)
+    log = write_once(own.mapInArrow(_local_chains(to_arrow_schema(schema)), schema), "exact-log")
+    directory = build_directory(log, bucket_bytes)
+    heads = log.where("first").select("rid", "doc_id", "key", "copies", "text", _slot()).join(F.broadcast(directory), "slot")
+    owned = heads.repartition("bucket").sortWithinPartitions("key", F.col("doc_id").asc_nulls_last(), "rid").drop("slot", "bucket")
+    link = f"head long, keep_id {id_type}, keep_rid long, copies long"
+    return log, write_once(owned.mapInArrow(_owner(schema_of(spark, link)), link), "exact-links")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 32 << 20) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -125,16 +144,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the smallest id stays (a null id last; of rows that repeat an id, one). An empty table gives no rows;
     other columns of docs, whatever their names, are not read.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    id_type = own.schema["doc_id"].dataType.simpleString()
-    spark = docs.sparkSession
-    log_schema = schema_of(spark, _LOG.format(id=id_type))
-    log = write_once(own.mapInArrow(_local_chains(log_schema), _LOG.format(id=id_type)), "exact-log")
-    directory = build_directory(log, bucket_bytes)
-    heads = log.where("first").select("rid", "doc_id", "key", "copies", "text", _slot()).join(F.broadcast(directory), "slot")
-    owned = heads.repartition("bucket").sortWithinPartitions("key", F.col("doc_id").asc_nulls_last(), "rid").drop("slot", "bucket")
-    link = f"head long, keep_id {id_type}, keep_rid long, copies long"
-    links = write_once(owned.mapInArrow(_owner(schema_of(spark, link)), link), "exact-links")
+    log, links = _linked(docs, id_col, text_col, bucket_bytes, carry=False)
     sizes = links.groupBy("keep_rid").agg(F.sum("copies").alias("group_size"))
     named = links.drop("copies").join(sizes, "keep_rid")
     return (
@@ -142,3 +152,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .join(named, "head")
         .select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.col("sha").alias("text_sha256"))
     )
+
+
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of docs that exact_dedup keeps, with all their columns."""
+    log, links = _linked(docs, id_col, text_col, bucket_bytes, carry=True)
+    stay = links.where("head = keep_rid").select(F.col("head").alias("rid"))
+    return log.where("first").select("rid", "row").join(stay, "rid").select("row.*")

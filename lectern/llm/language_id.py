@@ -165,13 +165,15 @@ def _predict(model: Broadcast, schema: pa.Schema):
     return run
 
 
-def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, held_out, lang_pred, score (0 to 1).
+def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, held_out, lang_pred, score (0 to 1); with carry, all of docs as the struct row too.
 
     Null texts and texts without a letter are und with score 0, as are all where nothing was learnt; repeated
     rows are judged each; an empty table gives no rows; other columns of docs are not read.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out"))
-    out = own.select("doc_id", "held_out", F.lit("").alias("lang_pred"), F.lit(0.0).cast("double").alias("score")).schema
+    if carry:
+        own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out"), F.struct("*").alias("row"))
+    out = own.drop("text").select("*", F.lit("").alias("lang_pred"), F.lit(0.0).cast("double").alias("score")).schema
     sent = docs.sparkSession.sparkContext.broadcast(model)
     return own.mapInArrow(_predict(sent, to_arrow_schema(out)), out)

@@ -29,6 +29,7 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 from lectern.llm.texts import arrow, steps
 
 SPACE = "▁"
+_INPUT = "__codec_input"
 #: Words that a task remembers; longer words than MEMO_CHARS are searched each time.
 MEMO, MEMO_CHARS = 1 << 19, 64
 
@@ -239,8 +240,8 @@ def _encode(model: Broadcast, schema: pa.Schema):
         codec = _codec(model.value)
         kept = [c for c in schema.names if c not in ("n_tokens", "ids", "round_trip")]
         for batch in batches:
-            for step in steps(batch, "text"):
-                texts = [x or "" for x in step.column("text").to_pylist()]
+            for step in steps(batch, _INPUT):
+                texts = [x or "" for x in step.column(_INPUT).to_pylist()]
                 ids = [codec.encode(x) for x in texts]
                 same = [codec.decode(i) == x.replace(SPACE, " ") for i, x in zip(ids, texts)]
                 yield arrow(schema, **{c: step.column(c) for c in kept}, n_tokens=list(map(len, ids)), ids=ids, round_trip=same)
@@ -254,7 +255,7 @@ def encode_texts(docs: DataFrame, model: bytes, text_col: str = "text", keep: tu
     Null and empty texts have no ids. A space mark (U+2581) in a text decodes to a space, as in the library.
     Repeated rows are encoded each; an empty table gives no rows; columns that are not kept are not read.
     """
-    own = docs.select(*keep, F.col(text_col).cast("string").alias("text"))
+    own = docs.select(*keep, F.col(text_col).cast("string").alias(_INPUT))
     out = own.select(*keep).schema.add("n_tokens", LongType()).add("ids", ArrayType(IntegerType())).add("round_trip", BooleanType())
     sent = docs.sparkSession.sparkContext.broadcast(model)
     return own.mapInArrow(_encode(sent, to_arrow_schema(out)), out)
@@ -264,14 +265,14 @@ def _decode(model: Broadcast, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model.value)
         for batch in batches:
-            yield arrow(schema, **{c: batch.column(c) for c in schema.names if c != "text"}, text=[codec.decode(x or []) for x in batch.column("ids").to_pylist()])
+            yield arrow(schema, **{c: batch.column(c) for c in schema.names if c != "text"}, text=[codec.decode(x or []) for x in batch.column(_INPUT).to_pylist()])
 
     return run
 
 
 def decode_ids(encoded: DataFrame, model: bytes, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per row of encoded: the kept columns and text. Null and empty ids give the empty text."""
-    own = encoded.select(*keep, F.col(ids_col).alias("ids"))
+    own = encoded.select(*keep, F.col(ids_col).alias(_INPUT))
     out = own.select(*keep).schema.add("text", StringType())
     sent = encoded.sparkSession.sparkContext.broadcast(model)
     return own.mapInArrow(_decode(sent, to_arrow_schema(out)), out)

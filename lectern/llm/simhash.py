@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lectern.llm.components import components
+from lectern.llm.decontam import shingles, word_hashes
 from lectern.llm.shared import write_once
+from lectern.llm.substring_dedup import mixed
 from lectern.llm.texts import arrow, schema_of, steps, utf8
 
 #: Bits of a half that the code covers, and its parity bits.
@@ -86,12 +88,13 @@ def _anchors(schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column("fp").to_numpy(zero_copy_only=False)
+            tables = batch.column("no").to_numpy(zero_copy_only=False).astype(np.int64)
             for half in (0, 1):
                 low = (fps >> (32 * half)) & ((1 << _LENGTH) - 1)
                 syndrome = sum((np.bitwise_count(low & p).astype(np.int64) & 1) << j for j, p in enumerate(parity))
                 near = masks[syndrome]
                 row, col = np.nonzero(near >= 0)
-                yield arrow(schema, anchor=pa.array((low[row] ^ near[row, col]) | (half << 32)), fp=pa.array(fps[row]), home=pa.array((col == 0).astype(np.int32)))
+                yield arrow(schema, anchor=pa.array((low[row] ^ near[row, col]) | (half << 32) | tables[row] << 33), fp=pa.array(fps[row]), home=pa.array((col == 0).astype(np.int32)))
 
     return run
 
@@ -100,20 +103,21 @@ def _compare(distance: int, schema: pa.Schema):
     """Rows come sorted by (anchor, i, j). Link each fingerprint of a group to one it can be reached from."""
 
     def linked(fps: np.ndarray) -> tuple[list[int], list[int]]:
+        """Every fingerprint but the first of a group, with a close one that was reached before."""
         fps, a, b = np.unique(fps), [], []
         bits = fps.view(np.uint64)
         close = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= distance
         unseen = np.ones(len(fps), bool)
         for start in np.flatnonzero(close.sum(1) > 1):
-            if not unseen[start]:
-                continue
-            front = np.zeros(len(fps), bool)
-            front[start], unseen[start] = True, False
-            while front.any():
-                front = close[front].any(0) & unseen
-                unseen &= ~front
-                a += fps[front].tolist()
-                b += [int(fps[start])] * int(front.sum())
+            front = [start] if unseen[start] else []
+            unseen[start] = False
+            while len(front):
+                reached = close[front] & unseen
+                found = np.flatnonzero(reached.any(0))
+                unseen[found] = False
+                a += fps[found].tolist()
+                b += fps[np.asarray(front)[reached[:, found].argmax(0)]].tolist()
+                front = found
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,39 +126,46 @@ def _compare(distance: int, schema: pa.Schema):
             keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("anchor", "i", "j")])
             fps = batch.column("fp").to_numpy(zero_copy_only=False)
             cuts = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1, [len(fps)]])
-            a, b = [], []
+            no, a, b = [], [], []
             for s, e in zip(cuts[:-1], cuts[1:]):
                 if (key := tuple(keys[:, s])) != group:
-                    for x, y in zip((a, b), linked(np.concatenate(held)) if held else ((), ())):
-                        x.extend(y)
+                    found = linked(np.concatenate(held)) if held else ((), ())
+                    no += [int(group[0]) >> 33] * len(found[0]) if held else []
+                    a += found[0]
+                    b += found[1]
                     held, group = [], key
                 held.append(fps[s:e])
-            yield arrow(schema, a=a, b=b)
+            yield arrow(schema, no=no, a=a, b=b)
         if held:
             a, b = linked(np.concatenate(held))
-            yield arrow(schema, a=a, b=b)
+            yield arrow(schema, no=[int(group[0]) >> 33] * len(a), a=a, b=b)
 
     return run
 
 
 def near_links(distinct: DataFrame, distance: int = MAX_DISTANCE, block: int = 1024) -> DataFrame:
-    """Links (a, b) between fingerprints of distinct (fp) that connect exactly those within distance of each other.
+    """Links (a, b), each within distance, that connect what all pairs of fingerprints within distance would.
 
-    A group at one anchor gives links that span it instead of all its pairs. An anchor with more than block
+    distinct has (fp), or (no, fp) for fingerprints of several kinds that link only to their own; links then
+    have no too. A group at one anchor gives links that span it instead of all its pairs. An anchor with more than block
     fingerprints is compared as pairs of blocks, each pair a task's group of bounded size.
     """
     if not 0 <= distance <= MAX_DISTANCE:
         raise ValueError(f"the covering finds distances up to {MAX_DISTANCE}")
-    rows_schema, link_schema = "anchor long, fp long, home int", "a long, b long"
+    rows_schema, link_schema = "anchor long, fp long, home int", "no int, a long, b long"
     spark = distinct.sparkSession
-    rows = write_once(distinct.select("fp").mapInArrow(_anchors(schema_of(spark, rows_schema)), rows_schema), "anchors")
+    several = "no" in distinct.columns
+    keyed = distinct.select("fp", F.col("no").cast("int").alias("no") if several else F.lit(0).alias("no"))
+    rows = write_once(keyed.mapInArrow(_anchors(schema_of(spark, rows_schema)), rows_schema), "anchors")
     busy = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("home").alias("homes")).where("n > 1 and homes > 0")
     blocks = F.ceil(F.col("n") / block).cast("int")
     met = rows.join(busy, "anchor").select("anchor", "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("k"))
     dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "anchor", "fp", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j")
     )
-    return dealt.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j").mapInArrow(_compare(distance, schema_of(spark, link_schema)), link_schema)
+    ordered = dealt.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
+    links = ordered.mapInArrow(_compare(distance, schema_of(spark, link_schema)), link_schema)
+    return links if several else links.drop("no")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = MAX_DISTANCE, seed: int = 42) -> DataFrame:
@@ -171,3 +182,77 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.join(smallest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _word_prints(seeds: int, schema: pa.Schema):
+    """A fingerprint of the set of words of each text for each of several mixes of the words' hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for step in steps(batch, "text"):
+                prints = []
+                for text in utf8(step.column("text")):
+                    words = set(text.lower().split())
+                    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+                    prints.append([majority_bits(mixed(hashes, np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64))) if words else 0 for k in range(seeds)])
+                flat = np.array(prints, np.uint64).reshape(-1)
+                yield arrow(schema, doc_id=step.column("doc_id").take(pa.array(np.repeat(np.arange(step.num_rows), seeds))), no=[k for _ in prints for k in range(seeds)], fp=pa.array(flat.view(np.int64)))
+
+    return run
+
+
+def _similar(schema: pa.Schema, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for one, two, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))):
+                s, t = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                if both >= similarity * (len(s) + len(t) - both):
+                    a.append(one)
+                    b.append(two)
+            yield arrow(schema, a=a, b=b)
+
+    return run
+
+
+def _shingle_sets(shingle: int, schema: pa.Schema):
+    """The set of word runs of a text as sorted 32-bit hashes; a text of fewer words is one run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for step in steps(batch, "text"):
+                sets = []
+                for text in utf8(step.column("text")):
+                    hashes = word_hashes(text.lower().split())
+                    found = shingles(hashes, min(shingle, len(hashes))) if len(hashes) else np.zeros(1, np.uint64)
+                    sets.append(np.unique((found >> np.uint64(32)).astype(np.uint32)).tobytes())
+                yield arrow(schema, doc_id=step.column("doc_id"), grams=sets)
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seeds: int = 4) -> DataFrame:
+    """(doc_id, component_id) of the documents that have a near copy: word runs with a Jaccard index of similarity or more.
+
+    A few edited words move a fingerprint of the set of words by few bits. Each document has several such
+    fingerprints; those within three bits link through the anchors, those that agree link to the smallest id
+    that has them. Linked documents are compared on their sets of word runs. component_id is the smallest id
+    that verified links reach. Null ids link to nothing; null and empty texts are one class of their own.
+    """
+    spark = docs.sparkSession
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    prints_ddl, pair_ddl, set_ddl = "doc_id long, no int, fp long", "a long, b long", "doc_id long, grams binary"
+    prints = write_once(own.mapInArrow(_word_prints(seeds, schema_of(spark, prints_ddl)), prints_ddl), "word-prints")
+    distinct = write_once(prints.groupBy("no", "fp").agg(F.min("doc_id").alias("least")), "distinct-prints")
+    same = prints.join(distinct, ["no", "fp"]).where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    ends = distinct.select("no", F.col("fp").alias("a"), F.col("least").alias("doc_a")), distinct.select("no", F.col("fp").alias("b"), F.col("least").alias("doc_b"))
+    close = near_links(distinct).join(ends[0], ["no", "a"]).join(ends[1], ["no", "b"]).select("doc_a", "doc_b").where("doc_a <> doc_b")
+    both = same.union(close).select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct()
+    pairs = write_once(both.select("a", "b"), "near-pairs")
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = own.join(wanted, "doc_id").mapInArrow(_shingle_sets(shingle, schema_of(spark, set_ddl)), set_ddl)
+    sets = write_once(sets, "near-sets")
+    met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    links = met.mapInArrow(_similar(schema_of(spark, pair_ddl), similarity), pair_ddl)
+    return components(links).toDF("doc_id", "component_id")

@@ -144,12 +144,16 @@ def _rows(schema: pa.Schema):
     return run
 
 
-def train_language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500) -> LanguageModel:
-    """Fit on rows that are not held out and have a language: about per_language of each, those whose id hashes lowest."""
+def train_language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500, max_languages: int = 512) -> LanguageModel:
+    """Fit on rows that are not held out and have a language: about per_language of each, those whose id hashes lowest.
+
+    Learns the max_languages most frequent languages; their counts are all that choosing rows needs.
+    """
     spark = docs.sparkSession
     known = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
-    drawn = known.join(sizes, "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) * F.col("n") < per_language * (1 << 20))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], r["n"])]) if sizes else F.create_map().cast("map<string,bigint>")
+    drawn = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) * F.try_element_at(share, F.col("lang")) < per_language * (1 << 20))
     out = "found binary, counts binary, lang string"
     rows = sorted(drawn.select("text", "lang").mapInArrow(_rows(schema_of(spark, out)), out).collect(), key=tuple)
     return LanguageModel([(np.frombuffer(r["found"], np.int32), np.frombuffer(r["counts"], np.float32).astype(float)) for r in rows], [r["lang"] for r in rows])

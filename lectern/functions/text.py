@@ -26,6 +26,7 @@ SENTENCE_GAP = r"(?U)(?<=[.!?;:])\s+"
 SUBCLAUSE_GAP = r"(?U)\s+(?=(?:\([a-zA-Z0-9ivx]+\)|[a-zA-Z]\)|\d+\.)\s+)"
 LINE_END = r"\r\n|[\n\r\x0B\f\x1C\x1D\x1E\x85\u2028\u2029]"
 BLANK_LINE = r"(?U)\n\s*\n"
+_BOILERPLATE = "|".join([r"(?U)^$|^\d+$", GAZETTE_ID.removeprefix("(?U)"), GAZETTE_NUMBER.removeprefix("(?U)"), *(x.replace(".", r"\.") for x in BOILERPLATE_PHRASES)])
 
 
 def strip(c: Column) -> Column:
@@ -57,11 +58,7 @@ def blocks_of(c: Column) -> Column:
 
 
 def is_boilerplate(line: Column) -> Column:
-    upper = F.upper(one_space(line))
-    found = (upper == "") | upper.rlike(r"(?U)^\d+$") | upper.rlike(GAZETTE_ID) | upper.rlike(GAZETTE_NUMBER)
-    for phrase in BOILERPLATE_PHRASES:
-        found = found | upper.contains(phrase)
-    return found
+    return F.upper(one_space(line)).rlike(_BOILERPLATE)
 
 
 def is_heading(line: Column) -> Column:

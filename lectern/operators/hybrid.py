@@ -98,7 +98,7 @@ def metadata_boost(text: str) -> Column:
     asked, lower = bool(text.strip()), F.lit(text.lower())
 
     def named(c: Column) -> Column:
-        return lower.like(F.concat(F.lit("%"), F.replace(F.lower(c), F.lit("\\"), F.lit("\\\\")), F.lit("%")))
+        return F.like(lower, F.concat(F.lit("%"), F.replace(F.lower(c), F.lit("\\"), F.lit("\\\\")), F.lit("%")))
 
     stem = F.regexp_replace("source", r"\.[^.]+$", "")
     source = F.lit(asked) & (F.col("source") != "") & named(stem)
@@ -117,7 +117,11 @@ def fused_score() -> Column:
 
 
 def score_candidates(chunks: DataFrame, query: Query, analyzer: str = "english") -> DataFrame:
-    """Every candidate of either leg with all parts of its score."""
+    """Every candidate of either leg with all parts of its score.
+
+    least() passes over nulls here as in the ranking that this follows: a candidate of the vector leg alone
+    has a text score of 1, one of the text leg alone a vector similarity of 0.
+    """
     kept = filtered(chunks, query.filters)
     vector = vector_leg(kept, query.vector, max(query.top_k, query.vector_candidates))
     text = text_leg(kept, query.text, max(query.top_k, query.text_candidates), analyzer)

@@ -7,9 +7,13 @@ their source; only folders with new sources are rewritten.
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from lectern.functions.vectors import l2_normalize
 from lectern.operators.chunking import chunk_documents
@@ -39,15 +43,16 @@ def ingest_counters(found: DataFrame, fresh: DataFrame, chunks: DataFrame) -> Da
 def chunk_rows(chunks: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
     """Chunks with ids and unit-length embeddings; embed maps texts to vectors, in batches."""
     key = F.sha2(F.concat_ws(":", "source", F.col("chunk_index").cast("string")), 256)
-    return chunks.select(key.alias("id"), F.sha2("source", 256).alias("document_id"), "*").withColumn("embedding", l2_normalize(embed(F.col("content"))))
+    return chunks.select(key.alias("id"), F.sha2("source", 256).alias("document_id"), "*", embed(F.col("content")).alias("embedding")).withColumn("embedding", l2_normalize(F.col("embedding")))
 
 
 def hashed_embedding(dimensions: int = 64) -> Callable[[Column], Column]:
-    """A deterministic stand-in for a model: token counts by hash, all in the JVM."""
+    """A deterministic stand-in for a model: counts of words by hash."""
 
-    def embed(text: Column) -> Column:
-        slots = F.transform(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.pmod(F.xxhash64(t), F.lit(dimensions)).cast("int"))
-        return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def embed(texts: pd.Series) -> pd.Series:
+        slots = texts.fillna("").str.lower().str.findall("[a-z0-9]+").map(lambda words: [crc32(w.encode()) % dimensions for w in words])
+        return slots.map(lambda x: np.bincount(np.array(x, np.int64), minlength=dimensions).astype(float))
 
     return embed
 

@@ -67,7 +67,7 @@ def _legs(match: str, score: str, where: str = "true", k: int = 50) -> str:
     tm AS (SELECT *, row_number() OVER (ORDER BY text_score DESC, id) AS text_rank FROM t)"""
 
 
-_ONE = (f"list_contains(tk, '{TERM}')", f"CAST(len(list_filter(tk, x -> x = '{TERM}')) AS DOUBLE) * 0.1::DOUBLE")
+_ONE = (f"list_contains(tk, '{TERM}')", f"CAST(len(list_filter(tk, lambda x: x = '{TERM}')) AS DOUBLE) * 0.1::DOUBLE")
 
 
 def _hybrid(question: str, match: str, score: str, where: str = "true", k: int = 10) -> str:
@@ -114,8 +114,8 @@ def vector_filtered_topk(spark, sf_dir):
 
 
 @query(
-    """SELECT vec_id, round(list_sum(list_transform(e, x -> x / n)), 6) AS total, round(sqrt(list_sum(list_transform(e, x -> (x / n) * (x / n)))), 6) AS length
-    FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), x -> x * x))) AS n FROM embeddings)"""
+    """SELECT vec_id, round(list_sum(list_transform(e, lambda x: x / n)), 6) AS total, round(sqrt(list_sum(list_transform(e, lambda x: (x / n) * (x / n)))), 6) AS length
+    FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS n FROM embeddings)"""
 )
 def l2_normalized(spark, sf_dir):
     """V1: vectors at length one."""
@@ -146,8 +146,9 @@ def postings_stats(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_CHUNKS}, p AS (SELECT id, lexeme FROM (SELECT id, unnest({_TOKENS}) AS lexeme FROM chunks) WHERE lexeme IN ('that', 'with'))
-    SELECT id, count(DISTINCT lexeme) AS matched, count(*) AS tf FROM p GROUP BY id HAVING count(DISTINCT lexeme) = 2 ORDER BY tf DESC, id LIMIT 50"""
+    f"""WITH {_CHUNKS}, p AS (SELECT id, {_TOKENS} AS tk FROM chunks)
+    SELECT id, CAST(2 AS BIGINT) AS matched, len(list_filter(tk, lambda x: x IN ('that', 'with'))) AS tf FROM p
+    WHERE list_contains(tk, 'that') AND list_contains(tk, 'with') ORDER BY tf DESC, id LIMIT 50"""
 )
 def postings_search(spark, sf_dir):
     """Chunks that hold all terms, by the inverted table."""
@@ -261,7 +262,7 @@ def normalize_text(spark, sf_dir):
 
 @query(
     r"""SELECT doc_id, len(p) AS sentences, p[1] AS first FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(regexp_replace(text, '^\s+|\s+$', '', 'g') || ' ', '(?s).*?(?:[.!?;:]\s+|\s$)'),
-    x -> regexp_replace(x, '^\s+|\s+$', '', 'g')), x -> x <> '') AS p FROM documents)"""
+    lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents)"""
 )
 def split_sentences(spark, sf_dir):
     """F10."""
@@ -276,7 +277,7 @@ def boilerplate_lines(spark, sf_dir):
 
 
 @query(
-    rf"""WITH {_MARKED} SELECT doc_id, n, line FROM s WHERE line <> '' AND length(line) <= 140 AND NOT {_PLATE} AND (regexp_matches(line, '^({T.HEADING_WORDS})\b')
+    rf"""WITH {_MARKED} SELECT doc_id, n, line FROM s WHERE line <> '' AND length(line) <= 140 AND NOT {_PLATE} AND (regexp_matches(line, '^({T.HEADING_WORDS})([^\p{{L}}\p{{N}}_]|$)')
     OR regexp_matches(line, '^\d+(\.\d+)*[\). -]+[A-Z]') OR regexp_matches(line, '^[A-Z][A-Z0-9 &,()/-]{{8,}}$'))"""
 )
 def heading_lines(spark, sf_dir):
@@ -293,7 +294,7 @@ def clause_lines(spark, sf_dir):
 @query(
     rf"""WITH {_MARKED}, a AS (SELECT doc_id, n, regexp_replace(line, '^\s*\d+\s*[\).]\s*', '') AS line FROM s),
     b AS (SELECT *, upper(regexp_replace(regexp_replace(line, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')) AS u FROM a)
-    SELECT doc_id, n FROM b WHERE line <> '' AND NOT {_PLATE} AND (suffix(line, '?') OR regexp_matches(line, '(?i)^({T.QUESTION_WORDS})\b'))"""
+    SELECT doc_id, n FROM b WHERE line <> '' AND NOT {_PLATE} AND (suffix(line, '?') OR regexp_matches(line, '(?i)^({T.QUESTION_WORDS})([^\p{{L}}\p{{N}}_]|$)'))"""
 )
 def question_lines(spark, sf_dir):
     """F7."""

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lectern.llm.shared import write_once
-from lectern.llm.texts import arrow, schema_of, steps, utf8
+from lectern.llm.texts import arrow, schema_of, steps, utf8, with_text
 
 #: Words of a shingle; shorter items are one shingle.
 SHINGLE = 3
@@ -110,13 +110,13 @@ def _count(block: Broadcast, schema: pa.Schema):
     return run
 
 
-def _mark(block: Broadcast, schema: pa.Schema):
+def _mark(block: Broadcast, schema: pa.Schema, text_col: str):
     """Add the block's hits to what earlier blocks found in a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b: Block = block.value
         for batch in batches:
-            for step in steps(batch, "text"):
+            for step in steps(with_text(batch, text_col), "text"):
                 n, runs, items = [], step.column("runs").to_pylist(), step.column("items").to_pylist()
                 for i, text in enumerate(utf8(step.column("text"))):
                     words = words_of(text)
@@ -160,8 +160,8 @@ def mark_windows(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null")
     out = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<int>").alias("runs"), F.array().cast("array<string>").alias("items"), *([F.struct("*").alias("row")] if carry else []),
+        F.col(id_col).alias("doc_id"), F.struct("*").alias("row") if carry else F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
+        F.array().cast("array<int>").alias("runs"), F.array().cast("array<string>").alias("items"),
     )
     counts = "shingle long, n long"
     blocks = _blocks(items, block_bytes)
@@ -174,7 +174,7 @@ def mark_windows(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col
             block.order({r["shingle"] & (2**64 - 1): r["n"] for r in seen.groupBy("shingle").agg(F.sum("n").alias("n")).collect()})
             sent = spark.sparkContext.broadcast(block)
         kept = out.schema if after is not None else out.drop("text").schema
-        out = out.mapInArrow(_mark(sent, to_arrow_schema(kept)), kept)
+        out = out.mapInArrow(_mark(sent, to_arrow_schema(kept), text_col), kept)
         if after is not None:
             out = write_once(out, "decontam")
         first = after

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lectern.llm.shared import shared_path, write_once
-from lectern.llm.texts import arrow, schema_of, steps, utf8
+from lectern.llm.texts import arrow, schema_of, steps, utf8, with_text
 
 #: Bits of the key that the directory can tell apart: its size is bounded by two to this power.
 DIRECTORY_BITS = 16
@@ -37,13 +37,13 @@ def normalised(text: bytes) -> bytes:
     return b" " * text[:1].isspace() + b" ".join(words) + b" " * text[-1:].isspace()
 
 
-def _local_chains(schema: pa.Schema):
+def _local_chains(schema: pa.Schema, text_col: str):
     """A row for each document; the smallest doc_id of a step's equal texts is their head and carries the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for step in steps(batch, "text"):
+            for step in steps(with_text(batch, text_col), "text"):
                 ids, texts = step.column("doc_id").to_pylist(), [normalised(x) for x in utf8(step.column("text"))]
                 heads: dict[bytes, int] = {}
                 copies: dict[bytes, int] = {}
@@ -123,13 +123,13 @@ def _slot():
 
 def _linked(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int, carry: bool) -> tuple[DataFrame, DataFrame]:
     """The log, and for each local head (head) the row and id that stay (keep_rid, keep_id) and its number of copies."""
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct("*").alias("row")] if carry else []))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.struct("*").alias("row") if carry else F.col(text_col).cast("string").alias("text"))
     id_type = own.schema["doc_id"].dataType.simpleString()
     spark = docs.sparkSession
     schema = spark.createDataFrame([], _LOG.format(id=id_type)).schema
     if carry:
         schema = schema.add("row", own.schema["row"].dataType, True)
-    log = write_once(own.mapInArrow(_local_chains(to_arrow_schema(schema)), schema), "exact-log")
+    log = write_once(own.mapInArrow(_local_chains(to_arrow_schema(schema), text_col), schema), "exact-log")
     directory = build_directory(log, bucket_bytes)
     heads = log.where("first").select("rid", "doc_id", "key", "copies", "text", _slot()).join(F.broadcast(directory), "slot")
     owned = heads.repartition("bucket").sortWithinPartitions("key", F.col("doc_id").asc_nulls_last(), "rid").drop("slot", "bucket")

@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from lectern.llm.linear import fit_hinge, fit_sigmoid
 from lectern.llm.quality import held_out
-from lectern.llm.texts import arrow, schema_of, steps
+from lectern.llm.texts import arrow, schema_of, steps, with_text
 
 DIMS = 1 << 16
 UNKNOWN = "und"
@@ -159,10 +159,10 @@ def train_language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return LanguageModel([(np.frombuffer(r["found"], np.int32), np.frombuffer(r["counts"], np.float32).astype(float)) for r in rows], [r["lang"] for r in rows])
 
 
-def _predict(model: Broadcast, schema: pa.Schema):
+def _predict(model: Broadcast, schema: pa.Schema, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for step in steps(batch, "text"):
+            for step in steps(with_text(batch, text_col), "text"):
                 langs, score = model.value.predict([letters_of(x or "") for x in step.column("text").to_pylist()])
                 yield arrow(schema, **{c: step.column(c) for c in schema.names if c not in ("lang_pred", "score")}, lang_pred=langs, score=score)
 
@@ -175,9 +175,8 @@ def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_i
     Null texts and texts without a letter are und with score 0, as are all where nothing was learnt; repeated
     rows are judged each; an empty table gives no rows; other columns of docs are not read.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out"))
-    if carry:
-        own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out"), F.struct("*").alias("row"))
+    text = F.struct("*").alias("row") if carry else F.col(text_col).cast("string").alias("text")
+    own = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), text)
     out = own.drop("text").select("*", F.lit("").alias("lang_pred"), F.lit(0.0).cast("double").alias("score")).schema
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return own.mapInArrow(_predict(sent, to_arrow_schema(out)), out)
+    return own.mapInArrow(_predict(sent, to_arrow_schema(out), text_col), out)

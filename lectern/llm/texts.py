@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,27 @@ from pyspark.sql.pandas.types import to_arrow_schema
 STEP_BYTES = 8 << 20
 
 
+def _tidy() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # no glibc here
+    _TRIM = None
+
+
+def with_text(batch: pa.RecordBatch, text_col: str) -> pa.RecordBatch:
+    """The batch with the text of its carried rows as a column of its own; nothing is copied."""
+    if "text" in batch.schema.names:
+        return batch
+    text = batch.column("row").field(text_col)
+    return batch.append_column("text", text if pa.types.is_string(text.type) else text.cast(pa.string()))
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """Each text as UTF-8; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -29,6 +51,7 @@ def steps(batch: pa.RecordBatch, column: str, step_bytes: int = STEP_BYTES) -> I
         end = min(max(end, at + 1), batch.num_rows)
         yield batch.slice(at, end - at)
         at = end
+    _tidy()
 
 
 def schema_of(spark: SparkSession, ddl: str) -> pa.Schema:

@@ -125,7 +125,7 @@ def score_candidates(chunks: DataFrame, query: Query, analyzer: str = "english")
     kept = filtered(chunks, query.filters)
     vector = vector_leg(kept, query.vector, max(query.top_k, query.vector_candidates))
     text = text_leg(kept, query.text, max(query.top_k, query.text_candidates), analyzer)
-    legs = candidates(vector, text).join(vector, "id", "left").join(text, "id", "left")
+    legs = vector.join(text, "id", "full_outer")  # the distinct union of both with their scores; each leg runs once
     bounded = F.broadcast(legs)  # at most the two limits together
     return chunks.join(bounded, "id").select(
         *chunks.columns, F.coalesce("vector_similarity", F.lit(0.0)).alias("vector_similarity"), F.coalesce(F.least("text_score", F.lit(1.0)), F.lit(0.0)).alias("text_score"),

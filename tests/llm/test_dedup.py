@@ -168,19 +168,19 @@ def test_repeats_brute_force(spark, sf_dir):
     short = fresh(45)
     texts |= {2000: " ".join(fresh(40) + short), 2001: " ".join(short + fresh(40)), 2002: None, 2003: "few words"}
     rows = sub.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
-    found = {r.doc_id for r in rows} | {r.match_id for r in rows}
+    found = {r.doc_id for r in rows} | {r.match_doc_id for r in rows}
     assert passages(texts, 50) <= found and not {2000, 2001, 2002, 2003} & found
     for r in rows:
-        one, two = (texts[d].lower().split()[s:e] for d, s, e in ((r.doc_id, r.start, r.end), (r.match_id, r.match_start, r.match_end)))
+        one, two = (texts[d].lower().split()[s:e] for d, s, e in ((r.doc_id, r.start_word, r.end_word), (r.match_doc_id, r.match_start_word, r.match_end_word)))
         a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (one, two))
         assert len(one) >= 50 and len(a & b) / len(a | b) == pytest.approx(r.similarity) and r.similarity >= 0.8
     planted = [r for r in rows if r.doc_id >= 1000]
-    assert {(r.doc_id, r.end - r.start) for r in planted if r.match_id == 1000} == {(1000 + k, 51) for k in range(1, 5)}
+    assert {(r.doc_id, r.end_word - r.start_word) for r in planted if r.match_doc_id == 1000} == {(1000 + k, 51) for k in range(1, 5)}
 
 
 def test_repeats_odd_rows(spark, odd_docs):
     rows = sub.repeated_passages(odd_docs).collect()
-    assert {r.doc_id for r in rows} | {r.match_id for r in rows} == {6, 7}
+    assert {r.doc_id for r in rows} | {r.match_doc_id for r in rows} == {6, 7}
     assert sub.repeated_passages(odd_docs.where("false")).count() == 0
 
 

@@ -35,9 +35,6 @@ def term_count(tokens: Column, term: str) -> Column:
     return F.size(F.filter(tokens, lambda x: x == term))
 
 
-_CONSONANTS = re.compile(r"[^aeiouy]")
-
-
 def _shape(word: str) -> str:
     """c for each consonant, v for each vowel; y is a vowel after a consonant."""
     out = ""

@@ -8,7 +8,6 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from lectern.llm import substring_dedup as sub
 from lectern.llm.catalogue import ORACLES, QUERIES

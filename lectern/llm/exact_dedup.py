@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lectern.llm.shared import shared_path, write_once
 from lectern.llm.texts import arrow, schema_of, steps, utf8, with_text
@@ -91,6 +92,25 @@ def _owner(schema: pa.Schema):
     return run
 
 
+def _owner_rows(text_col: str, schema: pa.Schema):
+    """The same walk over carried rows: only the first row of each chain goes on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, chain = None, []
+        for batch in batches:
+            for step in steps(with_text(batch, text_col), "text"):
+                stay = []
+                for i, (k, raw) in enumerate(zip(step.column("key").to_pylist(), utf8(step.column("text")))):
+                    if k != key:
+                        key, chain = k, []
+                    if (text := normalised(raw)) not in chain:
+                        chain.append(text)
+                        stay.append(i)
+                yield arrow(schema, row=step.column("row").take(pa.array(stay, pa.int64())))
+
+    return run
+
+
 def build_directory(log: DataFrame, bucket_bytes: int) -> DataFrame:
     """(slot, bucket) for every value of the key's leading bits, written beside the log.
 
@@ -121,20 +141,20 @@ def _slot():
     return (F.shiftright("key", 64 - DIRECTORY_BITS) + (1 << (DIRECTORY_BITS - 1))).cast("int").alias("slot")
 
 
-def _linked(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int, carry: bool) -> tuple[DataFrame, DataFrame]:
-    """The log, and for each local head (head) the row and id that stay (keep_rid, keep_id) and its number of copies."""
+def _log(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
+    """The index's log; with carry, the heads hold their row of docs in place of the text."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.struct("*").alias("row") if carry else F.col(text_col).cast("string").alias("text"))
-    id_type = own.schema["doc_id"].dataType.simpleString()
-    spark = docs.sparkSession
-    schema = spark.createDataFrame([], _LOG.format(id=id_type)).schema
+    schema = docs.sparkSession.createDataFrame([], _LOG.format(id=own.schema["doc_id"].dataType.simpleString())).schema
     if carry:
-        schema = schema.add("row", own.schema["row"].dataType, True)
-    log = write_once(own.mapInArrow(_local_chains(to_arrow_schema(schema), text_col), schema), "exact-log")
+        schema = StructType([f for f in schema if f.name != "text"]).add("row", own.schema["row"].dataType, True)
+    return write_once(own.mapInArrow(_local_chains(to_arrow_schema(schema), text_col), schema), "exact-log")
+
+
+def _owned(log: DataFrame, bucket_bytes: int, *columns: str) -> DataFrame:
+    """The local heads dealt to the owners of their buckets, in order of key and id."""
     directory = build_directory(log, bucket_bytes)
-    heads = log.where("first").select("rid", "doc_id", "key", "copies", "text", _slot()).join(F.broadcast(directory), "slot")
-    owned = heads.repartition("bucket").sortWithinPartitions("key", F.col("doc_id").asc_nulls_last(), "rid").drop("slot", "bucket")
-    link = f"head long, keep_id {id_type}, keep_rid long, copies long"
-    return log, write_once(owned.mapInArrow(_owner(schema_of(spark, link)), link), "exact-links")
+    heads = log.where("first").select("rid", "doc_id", "key", "copies", *columns, _slot()).join(F.broadcast(directory), "slot")
+    return heads.repartition("bucket").sortWithinPartitions("key", F.col("doc_id").asc_nulls_last(), "rid").drop("slot", "bucket")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 32 << 20) -> DataFrame:
@@ -144,7 +164,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the smallest id stays (a null id last; of rows that repeat an id, one). An empty table gives no rows;
     other columns of docs, whatever their names, are not read.
     """
-    log, links = _linked(docs, id_col, text_col, bucket_bytes, carry=False)
+    spark, log = docs.sparkSession, _log(docs, id_col, text_col, carry=False)
+    link = f"head long, keep_id {log.schema['doc_id'].dataType.simpleString()}, keep_rid long, copies long"
+    links = write_once(_owned(log, bucket_bytes, "text").mapInArrow(_owner(schema_of(spark, link)), link), "exact-links")
     sizes = links.groupBy("keep_rid").agg(F.sum("copies").alias("group_size"))
     named = links.drop("copies").join(sizes, "keep_rid")
     return (
@@ -156,6 +178,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 32 << 20) -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns."""
-    log, links = _linked(docs, id_col, text_col, bucket_bytes, carry=True)
-    stay = links.where("head = keep_rid").select(F.col("head").alias("rid"))
-    return log.where("first").select("rid", "row").join(stay, "rid").select("row.*")
+    log = _log(docs, id_col, text_col, carry=True)
+    rows = _owned(log, bucket_bytes, "row").select("key", "row")
+    out = rows.select("row").schema
+    return rows.mapInArrow(_owner_rows(text_col, to_arrow_schema(out)), out).select("row.*")

@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import add
 
 import pyarrow as pa
 import sentencepiece
@@ -30,14 +31,35 @@ from lectern.llm.texts import arrow, steps
 
 SPACE = "▁"
 _INPUT = "__codec_input"
-#: Words that a task remembers; longer words than MEMO_CHARS are searched each time.
-MEMO, MEMO_CHARS = 1 << 19, 64
+_FREE = -1
+#: Words that a worker remembers, twice over, at about 250 bytes each; longer ones than MEMO_CHARS are searched each time.
+MEMO, MEMO_CHARS = 1 << 18, 48
+
+
+class Recent(dict):
+    """Remembers the last size to twice size keys that were looked up anew."""
+
+    def __init__(self, size: int) -> None:
+        super().__init__()
+        self.size, self.before = size, {}
+
+    def older(self, key: object) -> object:
+        """The value of a key that is no longer at hand, None if it is forgotten."""
+        found = self.before.get(key)
+        return found if found is None else self.keep(key, found)
+
+    def keep(self, key: object, value: object) -> object:
+        if len(self) >= self.size:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class Codec:
     """Encodes and decodes with the pieces of a model (its serialised file)."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, memo: int = MEMO):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         size = sp.vocab_size()
         self.pieces = [sp.id_to_piece(i) for i in range(size)]
@@ -56,16 +78,33 @@ class Codec:
         self.order = {p: -self.score[i] for p, i in self.id.items()}
         seen = Counter(self.order[p] for p in self.id if len(p) > 1)
         self.tied = {p for p in self.id if len(p) > 1 and seen[self.order[p]] > 1}
-        self.kind = {p[:k]: False for p in self.id for k in range(1, len(p))} | dict.fromkeys(self.id, True)
+        self.trie: dict[str, tuple] = self._trie()
+        self.joints = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
+        self.plain = [self.pieces[i].replace(SPACE, " ") for i in range(size)]
+        for i, b in self.byte_of.items():
+            self.plain[i] = chr(b)
+        for i in self.silent:
+            self.plain[i] = ""
+        self.plain[self.unknown] = " ⁇ "
+        self.high = {i for i, b in self.byte_of.items() if b >= 0x80}
         self.split: dict[str, tuple[str, str] | None] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.memo: dict[str, list[int]] = {}
+        self.fits, self.memo, self.parts = Recent(memo // 2), Recent(memo), Recent(memo)
 
     def _is_bpe(self, sp: sentencepiece.SentencePieceProcessor) -> bool:
         """BPE models score pieces by minus their place in the order of merges."""
         scores = [self.score[i] for i in sorted(self.score)]
         return all(s <= 0 and s == int(s) for s in scores)
 
+    def _trie(self) -> dict[str, tuple]:
+        """By first character: the piece that ends there, or _FREE, and what may follow."""
+        ends = {p[:k]: _FREE for p in self.id for k in range(1, len(p) + 1)} | self.id
+        root: dict[str, tuple] = {}
+        nodes = {"": (_FREE, root)}
+        for p in sorted(ends, key=len):
+            nodes[p] = (ends[p], {})
+            nodes[p[:-1]][1][p[-1]] = nodes[p]
+        return root
+
     # The order in which merges happen: better score first.
     def _merged(self, a: str, b: str) -> float | None:
         i = self.id.get(a + b)
@@ -104,13 +143,16 @@ class Codec:
         The symbols that meet at the boundary are followed back in time, from the two pieces to single
         characters. The pair stands if none of those that met could have merged before one of its two was used up.
         """
-        key = (a, b)
-        found = self.fits.get(key)
+        return self._direct(a + b) == [a, b] if a in self.tied or b in self.tied else self._stands(a, b)
+
+    def _step(self, before: int, piece: int) -> bool:
+        """Whether a piece is what merging its own text gives, and may come after the one before it; _FREE: after anything."""
+        key = before << 20 | piece
+        found = self.fits.older(key)
         if found is None:
-            if len(self.fits) >= 2 * MEMO:
-                self.fits.clear()
-            tied = self.tied
-            found = self.fits[key] = self._direct(a + b) == [a, b] if a in tied or b in tied else self._stands(a, b)
+            text = self.pieces[piece]
+            made = len(text) == 1 or self._halves(text) is not None
+            found = self.fits.keep(key, made and (before < 0 or self._follows(self.pieces[before], text)))
         return found
 
     def _stands(self, x: str, y: str) -> bool:
@@ -128,66 +170,91 @@ class Codec:
             else:
                 y, y_used = self._halves(y)[0], y_made
 
+    def _within(self, text: str) -> list[int]:
+        """The same search for a text that fits into the window: nothing is committed before its end."""
+        n, root, fits = len(text), self.trie, self.fits
+        last: list[int | None] = [None] * (n + 1)
+        back = [0] * (n + 1)
+        last[0] = _FREE
+        for start in range(n):
+            before, after, end = last[start], root, start
+            key = before << 20
+            for ch in text[start:]:
+                node = after.get(ch)
+                if node is None:
+                    break
+                piece, after = node
+                end += 1
+                if piece >= 0 and last[end] is None:
+                    fit = fits.get(key | piece)
+                    if fit is None:
+                        fit = self._step(before, piece)
+                    if fit:
+                        last[end], back[end] = piece, start
+            if last[start + 1] is None:
+                last[start + 1], back[start + 1] = _FREE, start
+        return self._back(text, last, back, n, 0)
+
     def search(self, text: str) -> list[int]:
         """Ids of a normalised text; holds a window of boundaries and the ids committed so far."""
-        whole = self.id.get(text)
-        if whole is not None and self.bpe and (len(text) == 1 or self._halves(text)):
-            return [whole]
+        if self.bpe and len(text) <= 2 * self.longest:
+            return self._within(text)
         ids: list[int] = []
-        n, longest, kind, fits, bpe = len(text), self.longest, self.kind, self.fits, self.bpe
+        n, longest, root, fits, bpe, step = len(text), self.longest, self.trie, self.fits, self.bpe, self._step
         base = 0  # the boundary up to which ids are committed
-        last: dict[int, str] = {0: ""}  # the piece that ends at a boundary, from base on
+        last: dict[int, int] = {0: _FREE}  # the piece that ends at a boundary, from base on; _FREE: a character of no piece
+        back: dict[int, int] = {0: 0}  # where that piece starts
         total: dict[int, float] = {0: 0.0}
         for start in range(n):
             if start - base >= 2 * longest:
-                keep = self._meeting(last, start, start - longest, base)
+                keep = self._meeting(back, start, start - longest, base)
                 if keep > base:
-                    ids += self._back(last, keep, base)
-                    last = {k: v for k, v in last.items() if k >= keep}
-                    total = {k: v for k, v in total.items() if k >= keep}
+                    ids += self._back(text, last, back, keep, base)
+                    last, back, total = ({k: v for k, v in x.items() if k >= keep} for x in (last, back, total))
                     base = keep
-            before = last[start]
-            for end in range(start + 1, min(start + longest, n) + 1):
-                piece = text[start:end]
-                found = kind.get(piece)
-                if found is None and end > start + 1:
+            before, after, end = last[start], root, start
+            for ch in text[start : start + longest]:
+                node = after.get(ch)
+                if node is None:
                     break
+                piece, after = node
+                end += 1
+                if piece < 0:
+                    continue
                 if not bpe:
-                    if found or end == start + 1:
-                        value = total[start] + (self.score[self.id[piece]] if found else -1e6)
-                        if value > total.get(end, float("-inf")):
-                            last[end], total[end] = piece, value
-                elif end not in last and (found or end == start + 1):
-                    fit = not before or fits.get((before, piece))
+                    value = total[start] + self.score[piece]
+                    if value > total.get(end, float("-inf")):
+                        last[end], back[end], total[end] = piece, start, value
+                elif end not in last:  # only one piece can end there
+                    fit = fits.get(before << 20 | piece)
                     if fit is None:
-                        fit = self._follows(before, piece)
-                    if fit and (end == start + 1 or self._halves(piece)):
-                        last[end] = piece
-                if found is None:
-                    break
-        return ids + self._back(last, n, base)
-
-    def _meeting(self, last: dict[int, str], end: int, window: int, base: int) -> int:
+                        fit = step(before, piece)
+                    if fit:
+                        last[end], back[end] = piece, start
+            if start + 1 not in last:
+                last[start + 1], back[start + 1], total[start + 1] = _FREE, start, total.get(start, 0.0) - 1e6
+        return ids + self._back(text, last, back, n, base)
+
+    def _meeting(self, back: dict[int, int], end: int, window: int, base: int) -> int:
         """The latest boundary that the paths from all boundaries after window run through."""
         front = set(range(max(base, window), end + 1))
         while len(front) > 1:
             far = max(front)
             front.remove(far)
-            front.add(far - len(last[far]) if far > base else base)
+            front.add(back[far] if far > base else base)
         return front.pop()
 
-    def _back(self, last: dict[int, str], end: int, base: int) -> list[int]:
+    def _back(self, text: str, last: dict[int, int] | list[int], back: dict[int, int] | list[int], end: int, base: int) -> list[int]:
         out: list[int] = []
         while end > base:
-            piece = last[end]
-            i = self.id.get(piece)
-            if i is not None:
-                out.append(i)
+            piece, start = last[end], back[end]
+            if piece != _FREE:
+                out.append(piece)
             elif self.byte:
-                out += [self.byte[b] for b in reversed(piece.encode())]
+                out += [self.byte[b] for b in reversed(text[start:end].encode())]
             else:
                 out.append(self.unknown)
-            end -= len(piece)
+            end = start
         return out[::-1]
 
     def encode(self, text: str) -> list[int]:
@@ -200,16 +267,37 @@ class Codec:
         for word in _WORDS.findall(text):
             found = memo.get(word)
             if found is None:
-                found = self.search(word)
+                found = memo.older(word)
+            if found is None:
+                found = self._word(word)
                 if len(word) <= MEMO_CHARS:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[word] = found
+                    memo.keep(word, found)
             ids += found
         return ids
 
+    def _word(self, word: str) -> list[int]:
+        """Ids of a word; all paths meet between two characters that no piece holds next to each other."""
+        joints, memo, ids, start = self.joints, self.parts, [], 0
+        for k, pair in enumerate(map(add, word, word[1:]), 1):
+            if pair not in joints:
+                ids += self._part(word[start:k], memo)
+                start = k
+        return ids + self._part(word[start:], memo)
+
+    def _part(self, part: str, memo: Recent) -> list[int]:
+        found = memo.get(part)
+        if found is None:
+            found = memo.older(part)
+        if found is None:
+            found = self.search(part)
+            if len(part) <= MEMO_CHARS:
+                memo.keep(part, found)
+        return found
+
     def decode(self, ids: list[int]) -> str:
         """Pieces joined, runs of byte ids as UTF-8, space marks as spaces; the one the encoder put first goes."""
+        if self.high.isdisjoint(ids):
+            return "".join(map(self.plain.__getitem__, ids)).removeprefix(" ")
         out: list[str] = []
         raw = bytearray()
         for i in ids:
@@ -230,35 +318,41 @@ _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 @lru_cache(maxsize=2)
-def _codec(model: bytes) -> Codec:
+def _codec(model: bytes, memo: int = MEMO) -> Codec:
     """A Python worker keeps its codec from one task to the next."""
-    return Codec(model)
+    return Codec(model, memo)
 
 
-def _encode(model: Broadcast, schema: pa.Schema):
+def _encode(model: Broadcast, memo: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(model.value)
-        kept = [c for c in schema.names if c not in ("n_tokens", "ids", "round_trip")]
+        codec = _codec(model.value, memo)
+        kept = [c for c in schema.names if c not in ("n_tokens", "ids", "round_trip", "decoded")]
         for batch in batches:
             for step in steps(batch, _INPUT):
                 texts = [x or "" for x in step.column(_INPUT).to_pylist()]
                 ids = [codec.encode(x) for x in texts]
-                same = [codec.decode(i) == x.replace(SPACE, " ") for i, x in zip(ids, texts)]
-                yield arrow(schema, **{c: step.column(c) for c in kept}, n_tokens=list(map(len, ids)), ids=ids, round_trip=same)
+                back = list(map(codec.decode, ids))
+                same = [b == x.replace(SPACE, " ") for b, x in zip(back, texts)]
+                more = {"decoded": back} if "decoded" in schema.names else {}
+                yield arrow(schema, **{c: step.column(c) for c in kept}, n_tokens=list(map(len, ids)), ids=ids, round_trip=same, **more)
 
     return run
 
 
-def encode_texts(docs: DataFrame, model: bytes, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per row of docs: the kept columns, n_tokens, ids, and whether decoding them gives the text again.
+def encode_texts(docs: DataFrame, model: bytes, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False, memo: int = MEMO) -> DataFrame:
+    """One row per row of docs: the kept columns, n_tokens, ids, and round_trip, whether decoding gives the text again.
+
+    With decoded, what decoding gives is a column too, made in the same pass. memo bounds the words that a worker remembers.
 
     Null and empty texts have no ids. A space mark (U+2581) in a text decodes to a space, as in the library.
     Repeated rows are encoded each; an empty table gives no rows; columns that are not kept are not read.
     """
     own = docs.select(*keep, F.col(text_col).cast("string").alias(_INPUT))
     out = own.select(*keep).schema.add("n_tokens", LongType()).add("ids", ArrayType(IntegerType())).add("round_trip", BooleanType())
+    if decoded:
+        out = out.add("decoded", StringType())
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return own.mapInArrow(_encode(sent, to_arrow_schema(out)), out)
+    return own.mapInArrow(_encode(sent, memo, to_arrow_schema(out)), out)
 
 
 def _decode(model: Broadcast, schema: pa.Schema):

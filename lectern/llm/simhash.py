@@ -9,19 +9,20 @@ all others at the same anchor; anchors with many fingerprints are compared block
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lectern.llm.components import components
 from lectern.llm.decontam import shingles, word_hashes
 from lectern.llm.shared import write_once
-from lectern.llm.substring_dedup import mixed
 from lectern.llm.texts import arrow, schema_of, steps, utf8
 
 #: Bits of a half that the code covers, and its parity bits.
@@ -184,23 +185,6 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _word_prints(seeds: int, schema: pa.Schema):
-    """A fingerprint of the set of words of each text for each of several mixes of the words' hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for step in steps(batch, "text"):
-                prints = []
-                for text in utf8(step.column("text")):
-                    words = set(text.lower().split())
-                    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-                    prints.append([majority_bits(mixed(hashes, np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64))) if words else 0 for k in range(seeds)])
-                flat = np.array(prints, np.uint64).reshape(-1)
-                yield arrow(schema, doc_id=step.column("doc_id").take(pa.array(np.repeat(np.arange(step.num_rows), seeds))), no=[k for _ in prints for k in range(seeds)], fp=pa.array(flat.view(np.int64)))
-
-    return run
-
-
 def _similar(schema: pa.Schema, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,27 +216,83 @@ def _shingle_sets(shingle: int, schema: pa.Schema):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seeds: int = 4) -> DataFrame:
+def _members(schema: pa.Schema):
+    """Every word run of every set, once for each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sets in np.array_split(np.array(batch.column("grams").to_pylist(), object), max(1, batch.num_rows // 1000)):
+                yield arrow(schema, gram=pa.array(np.frombuffer(b"".join(sets), np.uint32).astype(np.int64)))
+
+    return run
+
+
+def _prefixes(common: Broadcast, similarity: float, schema: pa.Schema):
+    """The first word runs of each set in one order of all runs, as many as any set of that similarity shares one of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = common.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                grams, place, size = [], [], []
+                for raw in part.column("grams").to_pylist():
+                    own = np.frombuffer(raw, np.uint32)
+                    rank = np.zeros(len(own), np.int64)
+                    if len(known):
+                        spot = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                        rank = np.where(known[spot] == own, counts[spot], 0)
+                    first = np.argsort(rank, kind="stable")[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]
+                    grams.append(own[first])
+                    place.append(np.arange(len(first), dtype=np.int32))
+                    size.append(len(own))
+                many = np.array([len(x) for x in grams], np.int64)
+                yield arrow(
+                    schema, gram=pa.array(np.concatenate(grams).astype(np.int64)), doc_id=part.column("doc_id").take(pa.array(np.repeat(np.arange(len(many)), many))),
+                    place=pa.array(np.concatenate(place)), size=pa.array(np.repeat(np.array(size, np.int32), many)),
+                )
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, one_in: int = 8, most_common: int = 1 << 18) -> DataFrame:
     """(doc_id, component_id) of the documents that have a near copy: word runs with a Jaccard index of similarity or more.
 
-    A few edited words move a fingerprint of the set of words by few bits. Each document has several such
-    fingerprints; those within three bits link through the anchors, those that agree link to the smallest id
-    that has them. Linked documents are compared on their sets of word runs. component_id is the smallest id
+    Every such pair shares a run among the first of both sets, in any one order of all runs (prefix filter), so no
+    pair is missed. The order puts runs that are common in one_in-th of the documents last; it bears on cost alone. Each document is
+    compared with the smallest id of its runs' groups first. What these verified links have not joined is then
+    compared pair by pair, so a group of near copies makes no more pairs than it must. component_id is the smallest id
     that verified links reach. Null ids link to nothing; null and empty texts are one class of their own.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    prints_ddl, pair_ddl, set_ddl = "doc_id long, no int, fp long", "a long, b long", "doc_id long, grams binary"
-    prints = write_once(own.mapInArrow(_word_prints(seeds, schema_of(spark, prints_ddl)), prints_ddl), "word-prints")
-    distinct = write_once(prints.groupBy("no", "fp").agg(F.min("doc_id").alias("least")), "distinct-prints")
-    same = prints.join(distinct, ["no", "fp"]).where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    ends = distinct.select("no", F.col("fp").alias("a"), F.col("least").alias("doc_a")), distinct.select("no", F.col("fp").alias("b"), F.col("least").alias("doc_b"))
-    close = near_links(distinct).join(ends[0], ["no", "a"]).join(ends[1], ["no", "b"]).select("doc_a", "doc_b").where("doc_a <> doc_b")
-    both = same.union(close).select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct()
-    pairs = write_once(both.select("a", "b"), "near-pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = own.join(wanted, "doc_id").mapInArrow(_shingle_sets(shingle, schema_of(spark, set_ddl)), set_ddl)
-    sets = write_once(sets, "near-sets")
-    met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    links = met.mapInArrow(_similar(schema_of(spark, pair_ddl), similarity), pair_ddl)
-    return components(links).toDF("doc_id", "component_id")
+    set_ddl, gram_ddl, prefix_ddl, pair_ddl = "doc_id long, grams binary", "gram long", "gram long, doc_id long, place int, size int", "a long, b long"
+    sets = write_once(own.mapInArrow(_shingle_sets(shingle, schema_of(spark, set_ddl)), set_ddl), "near-sets")
+    sample = sets.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select("grams")
+    often = sample.mapInArrow(_members(schema_of(spark, gram_ddl)), gram_ddl).groupBy("gram").count().where("count > 1")
+    found = sorted((r["gram"], r["count"]) for r in often.orderBy(F.desc("count"), "gram").limit(most_common).collect())
+    common = spark.sparkContext.broadcast((np.array([g for g, _ in found], np.uint32), np.array([n for _, n in found], np.int64)))
+    prefixes = write_once(sets.mapInArrow(_prefixes(common, similarity, schema_of(spark, prefix_ddl)), prefix_ddl), "near-prefixes")
+    groups = prefixes.groupBy("gram").agg(F.min(F.struct("doc_id", "place", "size")).alias("h"), F.max("doc_id").alias("high")).where("h.doc_id <> high")
+    met = write_once(prefixes.join(groups.select("gram", "h"), "gram"), "near-groups")
+
+    def fits(place: Column, size: Column) -> Column:
+        """Sets of these sizes whose first shared runs stand at these places can be as similar as asked."""
+        apart = (F.col("size") + size) * ((1 - similarity) / (1 + similarity)) + 1e-6
+        return (F.col("place") + place <= apart) & (F.least("size", size) >= F.greatest("size", size) * similarity - 1e-6)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        return write_once(met.mapInArrow(_similar(schema_of(spark, pair_ddl), similarity), pair_ddl), "near-links")
+
+    starred = met.where((F.col("doc_id") != F.col("h.doc_id")) & fits(F.col("h.place"), F.col("h.size")))
+    first = write_once(starred.select(F.col("doc_id").alias("a"), F.col("h.doc_id").alias("b")).distinct(), "near-pairs")
+    links = verified(first)
+    roots = components(links)
+    placed = met.drop("h").join(roots.toDF("doc_id", "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    apart = placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
+    left = write_once(placed.join(apart, "gram"), "near-left")
+    right = left.toDF("gram", *(f"other_{c}" for c in left.columns[1:]))
+    crossed = left.join(right, "gram").where((F.col("doc_id") > F.col("other_doc_id")) & (F.col("root") != F.col("other_root")) & fits(F.col("other_place"), F.col("other_size")))
+    more = crossed.select(F.col("doc_id").alias("a"), F.col("other_doc_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    return components(links.union(verified(write_once(more, "near-pairs")))).toDF("doc_id", "component_id")

@@ -127,6 +127,36 @@ def test_near_duplicates(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def near_classes(texts):
+    grams = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, w in texts.items()}
+    ids = sorted(texts)
+    links = [(b, a) for i, a in enumerate(ids) for b in ids[i + 1 :] if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
+    linked = {x for pair in links for x in pair}
+    return {d: r for d, r in joined(links, ids).items() if d in linked}, links
+
+
+def test_near_duplicates_of_groups(spark):
+    """Copies that are near their base and not each other; the base has any place among the ids."""
+    rng = random.Random(12)
+    texts, k = {}, 0
+    for group in range(8):
+        base = [f"g{group}w{rng.randrange(10**6)}" for _ in range(300)]
+        members = [list(base)]
+        for _ in range(30):
+            copy = list(base)
+            for i in rng.sample(range(5, 295), rng.choice([4, 5, 6, 7])):
+                copy[i] = f"e{rng.randrange(10**9)}"
+            members.append(copy)
+        rng.shuffle(members)
+        for words in members:
+            texts[k], k = words, k + 1
+    want, links = near_classes(texts)
+    assert len(links) < 8 * 31 * 30 / 4
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")
+    for few in (1, 1 << 18):
+        assert {r.doc_id: r.component_id for r in near_duplicates(frame, most_common=few).collect()} == want
+
+
 def test_compact_windows():
     rng = np.random.default_rng(1)
     for _ in range(150):

@@ -157,6 +157,22 @@ def test_near_duplicates_of_groups(spark):
         assert {r.doc_id: r.component_id for r in near_duplicates(frame, most_common=few).collect()} == want
 
 
+def test_near_duplicates_of_every_kind(spark):
+    """Words replaced, and blocks added in front, behind or inside and cut: all pairs at the threshold or above are found."""
+    rng = random.Random(13)
+    fresh = lambda n: [f"{rng.randrange(10**6)}y" for _ in range(n)]
+    texts = {}
+    for k in range(120):
+        base = fresh(rng.choice([12, 60, 200, 400]))
+        n, at = rng.randint(len(base) // 10, len(base) // 4), rng.randrange(len(base))
+        copy = [fresh(n) + base, base + fresh(n), base[:at] + fresh(n) + base[at:], base[: len(base) - n], base[n:], [w if rng.random() > 0.03 else "edit" for w in base]][k % 6]
+        texts |= {2 * k: base, 2 * k + 1: copy}
+    want, links = near_classes(texts)
+    assert len(links) > 60
+    rows = near_duplicates(spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in rows} == want
+
+
 def test_compact_windows():
     rng = np.random.default_rng(1)
     for _ in range(150):

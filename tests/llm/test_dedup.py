@@ -239,6 +239,15 @@ def test_near_passages_are_verified():
     assert not list(sub.verified(w[:45] + [b"a"] * 20, w[:45] + [b"b"] * 20, 46, 0.8))
 
 
+def test_passages_with_repeated_lines_are_verified():
+    w = [f"w{i}".encode() for i in range(100)]
+    once = w[:60]
+    assert list(sub.verified(once, w[30:42] + [b"z%d" % i for i in range(20)] + once, 46, 0.8)) == [(0, 60, 32, 92, 1.0)]
+    # No diagonal is longer for the first words, which stand far from the passage
+    far = [b"q%d" % i for i in range(90)]
+    assert (8, 68, 98, 158, 1.0) in list(sub.verified(w[80:88] + once, w[80:88] + far + once, 46, 0.8))
+
+
 def judged(docs, items, window=13):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     out = []

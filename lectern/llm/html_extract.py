@@ -43,6 +43,9 @@ _SPACE = re.compile(r"\s+")
 _SENTENCE = re.compile(r"[.!?…。:;][\"'”’)\]]*$")
 _RIGHTS = re.compile(r"©|\(c\)\s*\d{4}|all rights reserved|copyright", re.I)
 
+#: Words of a name that tell a state of the page or the part, or what it holds, not what it is.
+_STATE = re.compile(r"(?<![\w-])(?:has|with|no|without|is)-[\w-]+|(?<![\w-])[\w-]+-(?:open|closed|enabled|disabled)(?![\w-])")
+
 #: What one unit of evidence weighs; positive speaks for main text.
 WEIGHTS = {
     "any": 0.7, "inside": 2.5, "outside": -2.5, "good_name": 1.5, "bad_part": -8.0, "hidden": -10.0, "paragraph": 1.0, "heading": 0.5, "item": -0.2,
@@ -70,7 +73,7 @@ class Part:
             if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")):
                 self.hidden = True
             if tag not in ("html", "body", "main"):
-                names = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
+                names = _STATE.sub(" ", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())
                 if _BAD_NAME.search(names) or _BAD_ROLE.search(attrs.get("role", "").lower()) or (not self.inside and _HEADER_NAME.search(names)):
                     self.bad = self.bad or not (tag in ("article", "main") and not _BAD_NAME.search(names))
                 elif _GOOD_NAME.search(names):

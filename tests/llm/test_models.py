@@ -100,6 +100,13 @@ def test_page_parts():
     assert web.main_text("<div>" * 3000 + "deep text inside of it all." + "</div>" * 3000) == "deep text inside of it all."
 
 
+def test_state_words_are_no_parts():
+    long = "A long paragraph of the article that has many words in it, so many that it must be main text."
+    for page in ("<div class='layout has-sidebar'><article><p>%s</p></article></div>", "<article class='post comments-open'><p>%s</p></article>"):
+        assert web.main_text(page % long) == long
+    assert web.main_text(f"<article><p>{long}</p></article><div class='sidebar'><p>{long} Not this.</p></div>") == long
+
+
 def test_pages_table(spark, sf_dir):
     rows = QUERIES["op8_html_extraction"](spark, sf_dir).collect()
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}

@@ -9,14 +9,13 @@ all others at the same anchor; anchors with many fingerprints are compared block
 
 from __future__ import annotations
 
-import math
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -185,114 +184,155 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _similar(schema: pa.Schema, similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for one, two, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))):
-                s, t = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if both >= similarity * (len(s) + len(t) - both):
-                    a.append(one)
-                    b.append(two)
-            yield arrow(schema, a=a, b=b)
+#: Least hashes of a band's key and bands: a pair at similarity s shares a key but with probability (1 - s^4)^20, 3e-5 at 0.8.
+DEPTH, BANDS = 4, 20
 
-    return run
+
+def _hash_factors() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20)
+    return rng.integers(1, 1 << 63, DEPTH * BANDS, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, DEPTH * BANDS, np.uint64)
+
+
+def band_keys(grams: np.ndarray, factors: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A number for each band: a hash of the least values that its functions take over a set."""
+    times, plus = factors
+    least = np.full(len(times), np.iinfo(np.uint64).max)
+    for at in range(0, len(grams), 2048):  # bounded memory for sets of any size
+        values = grams[at : at + 2048, None] * times + plus
+        least = np.minimum(least, (values ^ (values >> np.uint64(31))).min(axis=0))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(DEPTH, BANDS):
+        keys = (keys ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
 
 
 def _shingle_sets(shingle: int, schema: pa.Schema):
-    """The set of word runs of a text as sorted 32-bit hashes; a text of fewer words is one run."""
+    """The set of word runs of a text as sorted 32-bit hashes, its digest and band keys; a text of fewer words is one run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors = _hash_factors()
         for batch in batches:
             for step in steps(batch, "text"):
-                sets = []
+                sets, keys = [], []
                 for text in utf8(step.column("text")):
                     hashes = word_hashes(text.lower().split())
-                    found = shingles(hashes, min(shingle, len(hashes))) if len(hashes) else np.zeros(1, np.uint64)
+                    found = np.unique(shingles(hashes, min(shingle, len(hashes))) if len(hashes) else np.zeros(1, np.uint64))
+                    keys.append(band_keys(found, factors))
                     sets.append(np.unique((found >> np.uint64(32)).astype(np.uint32)).tobytes())
-                yield arrow(schema, doc_id=step.column("doc_id"), grams=sets)
+                yield arrow(schema, doc_id=step.column("doc_id"), digest=[hashlib.md5(x).digest() for x in sets], keys=keys, grams=sets)
 
     return run
 
 
-def _members(schema: pa.Schema):
-    """Every word run of every set, once for each document."""
+def similar(one: np.ndarray, two: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard index of two sorted sets is similarity or more."""
+    small, large = (one, two) if len(one) <= len(two) else (two, one)
+    if len(small) < similarity * len(large):
+        return False
+    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return both >= similarity * (len(one) + len(two) - both)
 
+
+def _verified(schema: pa.Schema, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sets in np.array_split(np.array(batch.column("grams").to_pylist(), object), max(1, batch.num_rows // 1000)):
-                yield arrow(schema, gram=pa.array(np.frombuffer(b"".join(sets), np.uint32).astype(np.int64)))
+            sets = ([np.frombuffer(x, np.uint32) for x in batch.column(c).to_pylist()] for c in ("x", "y"))
+            kept = pa.array([similar(x, y, similarity) for x, y in zip(*sets)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(kept).cast(schema)
 
     return run
 
 
-def _prefixes(common: Broadcast, similarity: float, schema: pa.Schema):
-    """The first word runs of each set in one order of all runs, as many as any set of that similarity shares one of."""
+def _linked_blocks(schema: pa.Schema, similarity: float):
+    """Rows come sorted by (key, i, j), a row for each set of two blocks of a key's group: verified links that span what is similar.
+
+    Sets that links have joined are not compared again, nor are those of one root, nor those that meet in an earlier band.
+    """
+
+    def linked(within: bool, key: int, at: tuple, ids: tuple, roots: tuple, bands: tuple, sets: tuple) -> tuple[list, list]:
+        """within: the two blocks are one; else only sets of different blocks are compared."""
+        top = {r: r for r in roots}
+
+        def find(x):
+            while top[x] != x:
+                top[x] = x = top[top[x]]
+            return x
+
+        order = sorted(range(len(ids)), key=lambda k: len(sets[k]))
+        grams, keys = [np.frombuffer(sets[k], np.uint32) for k in order], np.array([bands[k] for k in order], np.int64)
+        block = np.array([at[k] for k in order])
+        sizes, a, b = np.array([len(x) for x in grams]), [], []
+        for n, k in enumerate(order):
+            low = int(np.searchsorted(sizes[:n], similarity * sizes[n] - 1e-9))
+            first = keys[n][(keys[low:n] == keys[n]).argmax(axis=1)]  # the band in which they meet first; here they do meet
+            for m in (np.flatnonzero((first == key) & (within | (block[low:n] != block[n]))) + low).tolist():
+                one, two = find(roots[k]), find(roots[order[m]])
+                if one != two and similar(grams[m], grams[n], similarity):
+                    top[one] = two
+                    a.append(ids[k])
+                    b.append(ids[order[m]])
+        return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = common.value
+        group, held = None, []
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                grams, place, size = [], [], []
-                for raw in part.column("grams").to_pylist():
-                    own = np.frombuffer(raw, np.uint32)
-                    rank = np.zeros(len(own), np.int64)
-                    if len(known):
-                        spot = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                        rank = np.where(known[spot] == own, counts[spot], 0)
-                    first = np.argsort(rank, kind="stable")[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]
-                    grams.append(own[first])
-                    place.append(np.arange(len(first), dtype=np.int32))
-                    size.append(len(own))
-                many = np.array([len(x) for x in grams], np.int64)
-                yield arrow(
-                    schema, gram=pa.array(np.concatenate(grams).astype(np.int64)), doc_id=part.column("doc_id").take(pa.array(np.repeat(np.arange(len(many)), many))),
-                    place=pa.array(np.concatenate(place)), size=pa.array(np.repeat(np.array(size, np.int32), many)),
-                )
+            a, b = [], []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "at", "doc_id", "root", "keys", "grams"))):
+                if row[:3] != group:
+                    if held:
+                        x, y = linked(group[1] == group[2], group[0], *zip(*held))
+                        a += x
+                        b += y
+                    group, held = row[:3], []
+                held.append(row[3:])
+            yield arrow(schema, a=a, b=b)
+        if held:
+            a, b = linked(group[1] == group[2], group[0], *zip(*held))
+            yield arrow(schema, a=a, b=b)
 
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, one_in: int = 8, most_common: int = 1 << 18) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = 128, block_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, component_id) of the documents that have a near copy: word runs with a Jaccard index of similarity or more.
 
-    Every such pair shares a run among the first of both sets, in any one order of all runs (prefix filter), so no
-    pair is missed. The order puts runs that are common in one_in-th of the documents last; it bears on cost alone. Each document is
-    compared with the smallest id of its runs' groups first. What these verified links have not joined is then
-    compared pair by pair, so a group of near copies makes no more pairs than it must. component_id is the smallest id
-    that verified links reach. Null ids link to nothing; null and empty texts are one class of their own.
+    component_id is the smallest id that such links reach; documents without a near copy have no row. Documents with equal
+    sets are one class, represented by its smallest id. Representatives meet where a band of least hashes is equal.
+    Each is compared with the smallest id of its groups first; where these verified links leave a group in
+    several parts, its members are compared with each other inside tasks, in pairs of blocks of bounded size, so no link depends on
+    one that failed. Sets are compared whole, by 32-bit hashes of their word runs.
+
+    Ids are cast to long: one that is no number raises. Null ids link to nothing; null and empty texts are one class of
+    their own; very long texts take memory in proportion to their words; rows that repeat an id count as
+    one document; ties do not arise, as the smallest id stands for each class; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    set_ddl, gram_ddl, prefix_ddl, pair_ddl = "doc_id long, grams binary", "gram long", "gram long, doc_id long, place int, size int", "a long, b long"
+    set_ddl, pair_ddl = "doc_id long, digest binary, keys array<long>, grams binary", "a long, b long"
     sets = write_once(own.mapInArrow(_shingle_sets(shingle, schema_of(spark, set_ddl)), set_ddl), "near-sets")
-    sample = sets.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select("grams")
-    often = sample.mapInArrow(_members(schema_of(spark, gram_ddl)), gram_ddl).groupBy("gram").count().where("count > 1")
-    found = sorted((r["gram"], r["count"]) for r in often.orderBy(F.desc("count"), "gram").limit(most_common).collect())
-    common = spark.sparkContext.broadcast((np.array([g for g, _ in found], np.uint32), np.array([n for _, n in found], np.int64)))
-    prefixes = write_once(sets.mapInArrow(_prefixes(common, similarity, schema_of(spark, prefix_ddl)), prefix_ddl), "near-prefixes")
-    groups = prefixes.groupBy("gram").agg(F.min(F.struct("doc_id", "place", "size")).alias("h"), F.max("doc_id").alias("high")).where("h.doc_id <> high")
-    met = write_once(prefixes.join(groups.select("gram", "h"), "gram"), "near-groups")
-
-    def fits(place: Column, size: Column) -> Column:
-        """Sets of these sizes whose first shared runs stand at these places can be as similar as asked."""
-        apart = (F.col("size") + size) * ((1 - similarity) / (1 + similarity)) + 1e-6
-        return (F.col("place") + place <= apart) & (F.least("size", size) >= F.greatest("size", size) * similarity - 1e-6)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        return write_once(met.mapInArrow(_similar(schema_of(spark, pair_ddl), similarity), pair_ddl), "near-links")
-
-    starred = met.where((F.col("doc_id") != F.col("h.doc_id")) & fits(F.col("h.place"), F.col("h.size")))
-    first = write_once(starred.select(F.col("doc_id").alias("a"), F.col("h.doc_id").alias("b")).distinct(), "near-pairs")
-    links = verified(first)
-    roots = components(links)
-    placed = met.drop("h").join(roots.toDF("doc_id", "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    apart = placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
-    left = write_once(placed.join(apart, "gram"), "near-left")
-    right = left.toDF("gram", *(f"other_{c}" for c in left.columns[1:]))
-    crossed = left.join(right, "gram").where((F.col("doc_id") > F.col("other_doc_id")) & (F.col("root") != F.col("other_root")) & fits(F.col("other_place"), F.col("other_size")))
-    more = crossed.select(F.col("doc_id").alias("a"), F.col("other_doc_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    return components(links.union(verified(write_once(more, "near-pairs")))).toDF("doc_id", "component_id")
+    classes = write_once(sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("high")), "near-classes")
+    same = sets.select("doc_id", "digest").join(classes.where("rep <> high"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    keyed = sets.select("doc_id", "keys").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    rows = write_once(keyed.select("doc_id", F.explode("keys").alias("key")), "near-keys")
+    groups = rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("key", "low")
+    met = write_once(rows.join(groups, "key"), "near-groups")
+
+    pairs = write_once(met.where("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct(), "near-pairs")
+    joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
+    first = write_once(joined.mapInArrow(_verified(schema_of(spark, pair_ddl), similarity), pair_ddl), "near-links")
+
+    roots = components(first).toDF("doc_id", "root")
+    placed = met.drop("low").join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    apart = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("n")).where("r <> s").select("key", "n")
+    left = write_once(placed.join(apart, "key"), "near-left")
+    whole = left.join(sets.select("doc_id", "keys", "grams"), "doc_id")
+    weight = left.join(sets.select("doc_id", F.length("grams").alias("bytes")), "doc_id").groupBy("key").agg(F.sum("bytes").alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / block_bytes)).cast("int")
+    met_again = whole.join(weight, "key").withColumn("blocks", blocks).withColumn("at", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = met_again.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "doc_id", "root", "keys", "grams"
+    )
+    ordered = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    more = write_once(ordered.mapInArrow(_linked_blocks(schema_of(spark, pair_ddl), similarity), pair_ddl), "near-links")
+    return components(first.union(more).union(same)).toDF("doc_id", "component_id")

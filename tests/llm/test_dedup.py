@@ -12,7 +12,7 @@ import xxhash
 from lectern.llm import substring_dedup as sub
 from lectern.llm.catalogue import ORACLES, QUERIES
 from lectern.llm.components import components
-from lectern.llm.decontam import decontaminate
+from lectern.llm.decontam import clean_documents, decontaminate
 from lectern.llm.exact_dedup import distinct_documents, exact_dedup
 from lectern.llm.simhash import near_duplicates, simhash_components
 
@@ -153,8 +153,26 @@ def test_near_duplicates_of_groups(spark):
     want, links = near_classes(texts)
     assert len(links) < 8 * 31 * 30 / 4
     frame = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")
-    for few in (1, 1 << 18):
-        assert {r.doc_id: r.component_id for r in near_duplicates(frame, most_common=few).collect()} == want
+    for block in (128, 5):
+        assert {r.doc_id: r.component_id for r in near_duplicates(frame, block=block).collect()} == want
+
+
+def test_near_duplicates_behind_a_link_that_fails(spark):
+    """A document of the same words in another order has the smallest id and shares nothing of the order."""
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    other, edited = rng.sample(words, 200), [*words[:100], "x", *words[101:]]
+    rows = [(1, " ".join(other)), (2, " ".join(words)), (3, " ".join(edited)), (4, " ".join(words).upper())]
+    assert {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {2: 2, 3: 2, 4: 2}
+
+
+def test_near_duplicates_on_the_documents(spark, sf_dir):
+    """Recall and precision of links on the given documents against brute force over all pairs."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r.doc_id: (r.text or "").lower().split() for r in docs.collect()}
+    want, links = near_classes(texts)
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs).collect()}
+    assert links and got == want
 
 
 def test_near_duplicates_of_every_kind(spark):
@@ -265,8 +283,8 @@ def judged(docs, items, window=13):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block_bytes", [8 << 20, 40])
-def test_decontamination_brute_force(spark, odd_docs, block_bytes):
+@pytest.mark.parametrize("most_bits", [27, 3])  # a filter of 8 bits lets most shingles through
+def test_decontamination_brute_force(spark, odd_docs, most_bits):
     rng = random.Random(3)
     vocab = ["aa", "bb", "Cc", "dé", "9"]
     say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
@@ -274,9 +292,17 @@ def test_decontamination_brute_force(spark, odd_docs, block_bytes):
     docs = [(k, say(rng.randint(0, 60)) + (" " + items[k % 8][1] if k % 3 == 0 else "")) for k in range(40)] + [(None, items[0][1]), (50, None), (51, "")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     frame = spark.createDataFrame(docs, "doc_id long, text string")
-    rows = decontaminate(frame, benchmark, block_bytes=block_bytes).collect()
+    rows = decontaminate(frame, benchmark, most_bits=most_bits).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.contaminated) for r in rows) == judged(docs, items)
-    carried = decontaminate(odd_docs, benchmark, block_bytes=block_bytes, carry=True)
-    assert carried.select("row.*").columns == odd_docs.columns and carried.count() == odd_docs.count()
+    assert decontaminate(odd_docs, benchmark, most_bits=most_bits).count() == odd_docs.count()
     assert not decontaminate(frame, benchmark.where("false")).where("contaminated or n_items > 0").count()
     assert decontaminate(frame.where("false"), benchmark).count() == 0
+
+
+def test_clean_documents(spark, odd_docs):
+    benchmark = spark.createDataFrame([(1, "cat sat on the"), (None, "el gato"), (None, None)], "item_id long, text string")
+    kept = clean_documents(odd_docs, benchmark)
+    assert kept.columns == odd_docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in odd_docs.collect() if r.doc_id not in (1, 2, 9))
+    nameless = decontaminate(odd_docs, benchmark.where("item_id is null and text is not null"))
+    assert nameless.where("n_hit > 0 and n_items = 0").count() == nameless.where("n_hit > 0").count()

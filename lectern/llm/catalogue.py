@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lectern.llm.chat_format import chat_digests, format_chats
 from lectern.llm.decontam import decontaminate
 from lectern.llm.exact_dedup import exact_dedup
-from lectern.llm.html_extract import extract_pages
+from lectern.llm.html_extract import extract_pages, train_extractor
 from lectern.llm.language_id import predict_language, train_language_id
 from lectern.llm.quality import score_quality, train_quality
 from lectern.llm.sentencepiece_codec import encode_texts
@@ -63,8 +63,9 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The main text of every page."""
-    return extract_pages(_table(spark, sf_dir, "pages"))
+    """The main text of every page, by a classifier trained on pages that mark theirs."""
+    pages = _table(spark, sf_dir, "pages")
+    return extract_pages(pages, train_extractor(pages))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,7 +83,12 @@ def _features(schema: pa.Schema):
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1500) -> QualityModel:
-    """Fit on the labelled rows that are not held out, about per_class of each class: those whose id hashes lowest."""
+    """Fit on the labelled rows that are not held out, about per_class of each class: those whose id hashes lowest.
+
+    Labels other than 0 and 1 and null ids teach nothing; of several labels of one id the least counts; rows that repeat an id teach as
+    often as they occur; null and empty texts have no feature; of one class alone, or of an empty table, nothing is learnt and
+    scores are 0.5.
+    """
     spark = docs.sparkSession
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull())
     marked = marked.where(~held_out("id")).groupBy("id").agg(F.min("label").alias("label"))
@@ -92,7 +97,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     drawn = marked.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(drawn), "id").select("text", "label")
     found = "grams binary, label int"
-    rows = texts.mapInArrow(_features(schema_of(spark, found)), found).collect()
+    rows = sorted(texts.mapInArrow(_features(schema_of(spark, found)), found).collect(), key=tuple)  # whatever the split of files
     return QualityModel([(np.frombuffer(r["grams"], np.int32), r["label"]) for r in rows])
 
 
@@ -110,8 +115,9 @@ def _score(model: Broadcast, schema: pa.Schema):
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, score (0 to 1, higher is better), predicted (1 from 0.5 on).
 
-    Null and empty texts have no n-gram and get the score of a margin of zero; repeated rows are scored each; an
-    empty table gives no rows; other columns of docs are not read.
+    Null and empty texts have no n-gram and get the score of a margin of zero; very long texts are scored whole, with a flag
+    for each feature in memory; a score of just 0.5 is predicted 1; repeated rows are scored each; an empty table gives no rows; other
+    columns of docs, whatever their names, are not read.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out"))
     out = own.select("doc_id", "held_out", F.lit(0.0).cast("double").alias("score")).schema

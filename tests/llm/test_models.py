@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from zlib import crc32
 
 import numpy as np
@@ -61,10 +62,66 @@ def test_models_on_odd_rows(spark, odd_docs):
     assert {r.score for r in quality.score_quality(odd_docs, bare).collect()} == {0.5}
 
 
+def test_quality_brute_force():
+    """Scores against the formula written out over sets of byte strings."""
+    texts = ["a good and fine text", "bad bad bad!!!", "fine words in a good order", "!!! $$$ click", "a fine thing", "bad $$$"]
+    labels = [1, 0, 1, 0, 1, 0]
+    grams = quality.Grams()
+    model = quality.QualityModel([(grams(t.encode()), y) for t, y in zip(texts, labels)])
+    for t in [*texts, "a good click", "", "zzz"]:
+        b = t.encode()
+        found = {int(g) for k in range(1, 4) for i in range(len(b) - k + 1) for g in grams(b[i : i + k])}
+        seen = {g: [sum(g in grams(u.encode()) for u, y in zip(texts, labels) if y == side) for side in (1, 0)] for g in found}
+        ratio = {g: np.log((1 + p) / 5) - np.log((1 + n) / 5) for g, (p, n) in seen.items()}
+        length = np.sqrt(sum(v * v for v in ratio.values()))
+        margin = sum(float(model.weights[g]) * v for g, v in ratio.items()) / max(length, 1e-6)
+        assert abs(model.score(grams(b)) - 1 / (1 + np.exp(-(model.slope * margin + model.offset)))) < 1e-4
+    assert [model.score(grams(t.encode())) >= 0.5 for t in texts] == [y == 1 for y in labels]
+
+
+def test_language_brute_force(spark):
+    """Predictions against sums over every trigram of a text, one machine at a time."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = lid.train_language_id(docs)
+    texts = [lid.letters_of(r.text or "") for r in docs.limit(150).collect()] + [lid.letters_of("z"), b""]
+    names, scores = model.predict(texts)
+    for text, name, score in zip(texts, names, scores):
+        if not text:
+            assert (name, score) == ("und", 0.0)
+            continue
+        all_grams = lid.trigrams(text)
+
+        def sure(m, k):
+            weights = dict(zip(m.used.tolist(), m.weights[:, k].tolist()))
+            mean = sum(weights.get(int(g), 0.0) for g in all_grams) / len(all_grams)
+            return 1 / (1 + np.exp(-np.clip(m.slope[k] * mean + m.offset[k], -30, 30)))
+
+        p = [sure(model.families, k) for k in range(len(model.families.classes))]
+        best = int(np.argmax(p))
+        level, won, least = model.within[best], {}, {}
+        for k, (i, j) in enumerate(level.pairs):
+            x = sure(level, k)
+            for c, v in ((i, x), (j, 1 - x)):
+                won.setdefault(c, []).append((v >= 0.5) if c == i else (x < 0.5))
+                least[c] = min(least.get(c, 1.0), v)
+        want = max(range(len(level.classes)), key=lambda c: sum(won.get(c, [0])))
+        assert name == level.classes[want] and abs(score - p[best] * least.get(want, 1.0)) < 1e-4
+
+
+def test_many_languages_grow_in_proportion():
+    rng = random.Random(1)
+    words = {f"l{k}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(8)] for k in range(24)}
+    rows = [(lid.unit_row(lid.letters_of(" ".join(rng.choices(w, k=30)))), lang) for lang, w in words.items() for _ in range(6)]
+    model = lid.LanguageModel([r for r, _ in rows], [lang for _, lang in rows])
+    assert model.families.weights.shape[1] == 24 and sum(m.weights.size for m in model.within) == 0
+    names, _ = model.predict([lid.letters_of(" ".join(rng.choices(w, k=30))) for w in words.values()])
+    assert np.mean([a == b for a, b in zip(names, words)]) > 0.9
+
+
 def test_family_level_and_one_language():
     rows = [lid.unit_row(lid.letters_of(t)) for t in ("the cat and the dog", "der hund und die katze", "le chat et le chien", "el gato y el perro")]
     model = lid.LanguageModel(rows, ["en", "de", "fr", "es"])
-    assert model.levels[0].classes == ["germanic", "romance"] and len(model.levels) == 3
+    assert model.families.classes == ["germanic", "romance"] and [m.classes for m in model.within] == [["de", "en"], ["es", "fr"]]
     assert model.predict([lid.letters_of("the dog and the cat"), lid.letters_of("le chien et le chat"), b""])[0] == ["en", "fr", "und"]
     assert lid.LanguageModel(rows[:1], ["xx"]).predict([lid.letters_of("anything")])[0] == ["xx"]
 
@@ -107,6 +164,47 @@ def test_state_words_are_no_parts():
     assert web.main_text(f"<article><p>{long}</p></article><div class='sidebar'><p>{long} Not this.</p></div>") == long
 
 
+def test_names_that_may_mean_the_article():
+    two = "<p>%s</p><p>%s</p>" % ("A ruling of the court was given on Monday after a long week of talks.", "Both sides said that they would read it with care before they answer.")
+    want = web.main_text(f"<div class='story'>{two}</div>")
+    assert want.count("\n") == 1
+    for part in ("<div class='legal-news'>", "<div id='feedback'>", "<section class='alert-archive'>"):
+        assert web.main_text(f"<nav><a>Home</a></nav>{part}{two}</div><footer>x y z</footer>") == want
+        assert web.main_text(f"<article>{two}</article>{part}<p>Something else that is long enough to look like a text of its own, is it not.</p></div>") == want
+    assert web.main_text(f"<article><p>Only a short one here.</p></article><section class='comments'>{two}</section>") == "Only a short one here."
+
+
+def test_the_cut_decides():
+    """Blocks that the classifier alone would label the other way than those around them."""
+    long = "<p>A paragraph of plain words that is long enough to be told as main text at once.</p>"
+    page = f"<div>{long}<p>See <a href=x>the archive page</a></p>{long}</div><ul><li><a>Home</a></li><li><a>News of</a></li><li>All you need to know about us in one place, and for free, every day of the year.</li><li><a>Shop</a></li></ul>"
+    blocks = web.blocks_of(page)
+    costs = web.capacities(blocks)
+    assert [b.text[:3] for b, c in zip(blocks, costs) if c <= 0] == ["See", "Hom", "New", "Sho"]
+    kept = web.minimum_cut(costs, web.ties(blocks))
+    assert [b.text[:3] for b, k in zip(blocks, kept) if k] == ["A p", "See", "A p"]
+    alone = sum(abs(c) < 2 * (web.NEXT + web.SIBLING) for c in costs)
+    assert alone == len(costs)  # no capacity is beyond what ties can add up to
+
+
+@pytest.mark.parametrize("part", ["<a '", "<a =\"'", "<div>x", "<svg>", "</svg </b", "<td>", "<dl><div><dt>", "!", "&amp", "<p>a.</p>", "<!-- ", "<b class='"])
+def test_hostile_pages_take_linear_time(part):
+    began = time.process_time()
+    web.main_text(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 30  # quadratic work would take hours
+
+
+def test_trained_weights(spark, sf_dir):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    weights = web.train_extractor(pages)
+    learnt = dict(zip(web.WEIGHTS, weights))
+    assert learnt["bad_part"] < -4 < 0 < learnt["inside"] and not np.allclose(weights, web.PRIOR)
+    rows = pages.where("page_id % 3 = 1").select("html").collect()
+    hidden = [(web.main_text(r.html, weights), web.main_text(re.sub("<(/?)article>", r"<\1div>", r.html), weights)) for r in rows]
+    assert np.mean([a == b for a, b in hidden]) > 0.9  # held out of nothing but the mark
+    assert np.array_equal(web.train_extractor(pages.where("false")), web.PRIOR)
+
+
 def test_pages_table(spark, sf_dir):
     rows = QUERIES["op8_html_extraction"](spark, sf_dir).collect()
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}

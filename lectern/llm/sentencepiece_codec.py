@@ -1,20 +1,21 @@
 """SentencePiece encoding by a streaming Viterbi search, and decoding.
 
-The state of the search at a boundary is the last piece of the best segmentation up to it, with a backpointer to
-the boundary before that piece. For a BPE model a step from one piece to the next is allowed only if merging
-the two texts together would still leave that pair, which makes the segmentation of every prefix unique and equal to what
-the merges give; for a unigram model the step with the best score wins. Either way a piece is never longer than
-the model's longest, so a window of that many boundaries is enough: ids are committed whenever the backpointer
-paths of all boundaries in the window run through one boundary, and what lies before it is forgotten.
-
-Where the vocabulary has no piece that goes on past a space mark, all paths meet at each word start; words are
-searched once and remembered.
+The search runs over the boundaries of a text in order. A boundary keeps the last piece of the best segmentation up to it
+and a backpointer to the boundary before that piece. For a unigram model the piece with the best score wins. For a BPE
+model a piece may follow another only if merging the two texts together would still leave that pair; so just one piece can
+end at a boundary, and ids are equal to what the merges give.
+
+The pieces that may end at a boundary come from an automaton over all pieces (Aho and Corasick, 1975), one step a character. Its state
+is the longest run of characters that a piece to come may have begun with, so paths go on from that many
+boundaries only, the model's longest piece at most. Whenever the backpointer paths of all of them run through one boundary,
+the ids before it are committed and forgotten. Between two characters that no piece holds next to each other they always do; the
+parts of words between such places are remembered with their ids, as are words where no piece goes on past a space mark.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from functools import lru_cache
 from operator import add
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType
+from sentencepiece import sentencepiece_model_pb2 as model_format
 
 from lectern.llm.texts import arrow, steps
 
@@ -71,15 +73,16 @@ class Codec:
         self.id = {self.pieces[i]: i for i in range(size) if i not in special and not sp.is_unused(i)}
         self.score = {i: sp.get_score(i) for i in self.id.values()}
         self.longest = max(map(len, self.id), default=1)
-        self.normalise = sp.normalize
-        self.identity = all(sp.normalize(x) == SPACE + x.replace(" ", SPACE) for x in ("a  b ", "Ａééﬁ", "\n\t x"))
+        spec = model_format.ModelProto.FromString(model)
+        self.normalise, rules = sp.normalize, spec.normalizer_spec
+        self.identity = not rules.precompiled_charsmap and rules.add_dummy_prefix and not rules.remove_extra_whitespaces and rules.escape_whitespaces and not spec.trainer_spec.treat_whitespace_as_suffix
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.id)
-        self.bpe = self._is_bpe(sp)
+        self.bpe = spec.trainer_spec.model_type == spec.trainer_spec.BPE
         self.order = {p: -self.score[i] for p, i in self.id.items()}
         seen = Counter(self.order[p] for p in self.id if len(p) > 1)
         self.tied = {p for p in self.id if len(p) > 1 and seen[self.order[p]] > 1}
-        self.trie: dict[str, tuple] = self._trie()
         self.joints = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
+        self._automaton()
         self.plain = [self.pieces[i].replace(SPACE, " ") for i in range(size)]
         for i, b in self.byte_of.items():
             self.plain[i] = chr(b)
@@ -88,22 +91,46 @@ class Codec:
         self.plain[self.unknown] = " ⁇ "
         self.high = {i for i, b in self.byte_of.items() if b >= 0x80}
         self.split: dict[str, tuple[str, str] | None] = {}
-        self.fits, self.memo, self.parts = Recent(memo // 2), Recent(memo), Recent(memo)
-
-    def _is_bpe(self, sp: sentencepiece.SentencePieceProcessor) -> bool:
-        """BPE models score pieces by minus their place in the order of merges."""
-        scores = [self.score[i] for i in sorted(self.score)]
-        return all(s <= 0 and s == int(s) for s in scores)
-
-    def _trie(self) -> dict[str, tuple]:
-        """By first character: the piece that ends there, or _FREE, and what may follow."""
-        ends = {p[:k]: _FREE for p in self.id for k in range(1, len(p) + 1)} | self.id
-        root: dict[str, tuple] = {}
-        nodes = {"": (_FREE, root)}
-        for p in sorted(ends, key=len):
-            nodes[p] = (ends[p], {})
-            nodes[p[:-1]][1][p[-1]] = nodes[p]
-        return root
+        self.fits, self.memo, self.parts = Recent(memo), Recent(memo), Recent(memo)
+
+    def _automaton(self) -> None:
+        """By state: the next states, the state of the longest proper suffix, how many characters it stands for, and the pieces that end it."""
+        self.moves: list[dict[str, int]] = [{}]
+        self.suffix, self.depth, self.ends = [0], [0], [()]
+        for piece, i in self.id.items():
+            state = 0
+            for ch in piece:
+                after = self.moves[state].get(ch)
+                if after is None:
+                    after = self.moves[state][ch] = len(self.moves)
+                    self.moves.append({})
+                    self.suffix.append(0)
+                    self.depth.append(self.depth[state] + 1)
+                    self.ends.append(())
+                state = after
+            self.ends[state] = ((len(piece), i),)
+        todo = deque(self.moves[0].values())
+        while todo:  # parents come before their children, shorter suffixes before longer ones
+            state = todo.popleft()
+            self.ends[state] += self.ends[self.suffix[state]]
+            for ch, after in self.moves[state].items():
+                back = self.suffix[state]
+                while back and ch not in self.moves[back]:
+                    back = self.suffix[back]
+                self.suffix[after] = self.moves[back].get(ch, 0)
+                todo.append(after)
+        self.known = len(self.moves)  # moves found later are kept up to as many again
+
+    def _move(self, state: int, ch: str) -> int:
+        """The next state where none is kept: by way of the suffixes."""
+        back = self.suffix[state]
+        while back and ch not in self.moves[back]:
+            back = self.suffix[back]
+        after = self.moves[back].get(ch, 0)
+        if self.known:
+            self.known -= 1
+            self.moves[state][ch] = after
+        return after
 
     # The order in which merges happen: better score first.
     def _merged(self, a: str, b: str) -> float | None:
@@ -170,91 +197,67 @@ class Codec:
             else:
                 y, y_used = self._halves(y)[0], y_made
 
-    def _within(self, text: str) -> list[int]:
-        """The same search for a text that fits into the window: nothing is committed before its end."""
-        n, root, fits = len(text), self.trie, self.fits
-        last: list[int | None] = [None] * (n + 1)
-        back = [0] * (n + 1)
-        last[0] = _FREE
-        for start in range(n):
-            before, after, end = last[start], root, start
-            key = before << 20
-            for ch in text[start:]:
-                node = after.get(ch)
-                if node is None:
-                    break
-                piece, after = node
-                end += 1
-                if piece >= 0 and last[end] is None:
-                    fit = fits.get(key | piece)
-                    if fit is None:
-                        fit = self._step(before, piece)
-                    if fit:
-                        last[end], back[end] = piece, start
-            if last[start + 1] is None:
-                last[start + 1], back[start + 1] = _FREE, start
-        return self._back(text, last, back, n, 0)
-
     def search(self, text: str) -> list[int]:
-        """Ids of a normalised text; holds a window of boundaries and the ids committed so far."""
-        if self.bpe and len(text) <= 2 * self.longest:
-            return self._within(text)
+        """Ids of a normalised text; holds the boundaries from the last one committed."""
+        moves, depth, ends, fits, step, most = self.moves, self.depth, self.ends, self.fits, self._step, 2 * self.longest
+        best = self._best if not self.bpe else None
         ids: list[int] = []
-        n, longest, root, fits, bpe, step = len(text), self.longest, self.trie, self.fits, self.bpe, self._step
-        base = 0  # the boundary up to which ids are committed
-        last: dict[int, int] = {0: _FREE}  # the piece that ends at a boundary, from base on; _FREE: a character of no piece
-        back: dict[int, int] = {0: 0}  # where that piece starts
-        total: dict[int, float] = {0: 0.0}
-        for start in range(n):
-            if start - base >= 2 * longest:
-                keep = self._meeting(back, start, start - longest, base)
+        base = end = state = 0  # the boundary up to which ids are committed, where the lists begin
+        last, back, total = [_FREE << 20], [0], [0.0]  # the piece that ends at a boundary, its length, the score so far
+        for ch in text:
+            end += 1
+            after = moves[state].get(ch)
+            state = self._move(state, ch) if after is None else after
+            if best:
+                size, piece = best(ends[state], total)
+            else:
+                for size, piece in ends[state]:
+                    fit = fits.get(last[-size] | piece)
+                    if fit or (fit is None and step(last[-size] >> 20, piece)):
+                        break  # only one piece can end there
+                else:
+                    size, piece = 1, _FREE
+            last.append(piece << 20)
+            back.append(size)
+            live = depth[state]
+            if live < 2 or len(last) > most:
+                keep = end if not live else end - 1 if size == 1 else self._meeting(back, end - live, end, base)
                 if keep > base:
                     ids += self._back(text, last, back, keep, base)
-                    last, back, total = ({k: v for k, v in x.items() if k >= keep} for x in (last, back, total))
-                    base = keep
-            before, after, end = last[start], root, start
-            for ch in text[start : start + longest]:
-                node = after.get(ch)
-                if node is None:
-                    break
-                piece, after = node
-                end += 1
-                if piece < 0:
-                    continue
-                if not bpe:
-                    value = total[start] + self.score[piece]
-                    if value > total.get(end, float("-inf")):
-                        last[end], back[end], total[end] = piece, start, value
-                elif end not in last:  # only one piece can end there
-                    fit = fits.get(before << 20 | piece)
-                    if fit is None:
-                        fit = step(before, piece)
-                    if fit:
-                        last[end], back[end] = piece, start
-            if start + 1 not in last:
-                last[start + 1], back[start + 1], total[start + 1] = _FREE, start, total.get(start, 0.0) - 1e6
-        return ids + self._back(text, last, back, n, base)
-
-    def _meeting(self, back: dict[int, int], end: int, window: int, base: int) -> int:
-        """The latest boundary that the paths from all boundaries after window run through."""
-        front = set(range(max(base, window), end + 1))
+                    keep, base = keep - base, keep
+                    last, back, total = last[keep:], back[keep:], total[keep:]
+        return ids + self._back(text, last, back, end, base)
+
+    def _best(self, found: tuple[tuple[int, int], ...], total: list[float]) -> tuple[int, int]:
+        """The piece with the best score of those that may end at the next boundary."""
+        value, size, piece = total[-1] - 1e6, 1, _FREE
+        for n, i in found:
+            if total[-n] + self.score[i] > value:
+                value, size, piece = total[-n] + self.score[i], n, i
+        total.append(value)
+        return size, piece
+
+    def _meeting(self, back: list[int], low: int, end: int, base: int) -> int:
+        """The latest boundary that the paths from all boundaries from low to end run through; back begins at base."""
+        front = set(range(max(base, low), end + 1))
         while len(front) > 1:
             far = max(front)
             front.remove(far)
-            front.add(back[far] if far > base else base)
+            front.add(far - back[far - base])
         return front.pop()
 
-    def _back(self, text: str, last: dict[int, int] | list[int], back: dict[int, int] | list[int], end: int, base: int) -> list[int]:
-        out: list[int] = []
-        while end > base:
-            piece, start = last[end], back[end]
+    def _back(self, text: str, last: list[int], back: list[int], end: int, base: int) -> list[int]:
+        """The ids on the path from base to end."""
+        out, at = [], end - base
+        while at:
+            piece, size = last[at] >> 20, back[at]
             if piece != _FREE:
                 out.append(piece)
             elif self.byte:
-                out += [self.byte[b] for b in reversed(text[start:end].encode())]
+                out += [self.byte[b] for b in reversed(text[base + at - size : base + at].encode())]
             else:
                 out.append(self.unknown)
-            end = start
+            at -= size
         return out[::-1]
 
     def encode(self, text: str) -> list[int]:
@@ -276,22 +279,20 @@ class Codec:
         return ids
 
     def _word(self, word: str) -> list[int]:
-        """Ids of a word; all paths meet between two characters that no piece holds next to each other."""
+        """Ids of a word: between two characters that no piece holds next to each other all paths meet, and ids are committed."""
         joints, memo, ids, start = self.joints, self.parts, [], 0
         for k, pair in enumerate(map(add, word, word[1:]), 1):
             if pair not in joints:
-                ids += self._part(word[start:k], memo)
+                ids += memo.get(word[start:k]) or self._part(word[start:k])
                 start = k
-        return ids + self._part(word[start:], memo)
+        return ids + self._part(word[start:])
 
-    def _part(self, part: str, memo: Recent) -> list[int]:
-        found = memo.get(part)
-        if found is None:
-            found = memo.older(part)
+    def _part(self, part: str) -> list[int]:
+        found = self.parts.get(part) or self.parts.older(part)
         if found is None:
             found = self.search(part)
             if len(part) <= MEMO_CHARS:
-                memo.keep(part, found)
+                self.parts.keep(part, found)
         return found
 
     def decode(self, ids: list[int]) -> str:
@@ -345,8 +346,12 @@ def encode_texts(docs: DataFrame, model: bytes, text_col: str = "text", keep: tu
     With decoded, what decoding gives is a column too, made in the same pass. memo bounds the words that a worker remembers.
 
     Null and empty texts have no ids. A space mark (U+2581) in a text decodes to a space, as in the library.
-    Repeated rows are encoded each; an empty table gives no rows; columns that are not kept are not read.
+    Very long texts are one row each: the search holds a few boundaries more than the longest piece wherever paths meet, and their
+    ids. Of pieces that could end at one place with equal scores the longest is taken. Repeated rows are encoded each; an
+    empty table gives no rows; columns that are not kept are not read, and kept ones may not have the names of results.
     """
+    if clash := {"n_tokens", "ids", "round_trip", "decoded"} & set(keep):
+        raise ValueError(f"kept columns have the names of results: {sorted(clash)}")
     own = docs.select(*keep, F.col(text_col).cast("string").alias(_INPUT))
     out = own.select(*keep).schema.add("n_tokens", LongType()).add("ids", ArrayType(IntegerType())).add("round_trip", BooleanType())
     if decoded:
@@ -359,13 +364,19 @@ def _decode(model: Broadcast, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model.value)
         for batch in batches:
-            yield arrow(schema, **{c: batch.column(c) for c in schema.names if c != "text"}, text=[codec.decode(x or []) for x in batch.column(_INPUT).to_pylist()])
+            yield arrow(schema, **{c: batch.column(c) for c in schema.names if c != "text"}, text=[codec.decode([i for i in x or () if i is not None]) for x in batch.column(_INPUT).to_pylist()])
 
     return run
 
 
 def decode_ids(encoded: DataFrame, model: bytes, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per row of encoded: the kept columns and text. Null and empty ids give the empty text."""
+    """One row per row of encoded: the kept columns and text.
+
+    Null and empty ids give the empty text, null ids inside a list too; long lists are one row each; repeated rows are decoded each; an empty table
+    gives no rows; columns that are not kept are not read, and none of these may be called text.
+    """
+    if "text" in keep:
+        raise ValueError("a kept column has the name of the result: text")
     own = encoded.select(*keep, F.col(ids_col).alias(_INPUT))
     out = own.select(*keep).schema.add("text", StringType())
     sent = encoded.sparkSession.sparkContext.broadcast(model)

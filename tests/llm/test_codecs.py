@@ -56,20 +56,46 @@ def test_pairs_stand_as_merging_says(codec):
             assert codec._follows(a, b) == (codec._direct(a + b) == [a, b])
 
 
-def test_window_stays_small(codec):
-    held = []
-    meeting = codec._meeting
+def windows(codec, texts, encode):
+    """(boundaries held, boundaries committed) each time that paths may meet."""
+    seen, meeting = [], codec._meeting
 
-    def spy(last, *args):
-        held.append(len(last))
-        return meeting(last, *args)
+    def spy(back, low, end, base):
+        keep = meeting(back, low, end, base)
+        seen.append((len(back), keep - base))
+        return keep
 
     codec._meeting = spy
     try:
-        codec.search("theinandoftoreth" * 2000)
+        for text in texts:
+            encode(text)
     finally:
         del codec._meeting
-    assert held and max(held) <= 4 * codec.longest + 2
+    return seen
+
+
+@pytest.mark.parametrize("text", ["theinandoftoreth" * 2000, "a" * 9000, "internationalization" * 500, "zxq" * 3000])
+def test_window_stays_small(codec, library, text):
+    seen = windows(codec, [text], codec.search)
+    assert max(n for n, _ in seen) <= 4 * codec.longest + 2
+    assert codec.search("▁" + text) == library.encode(text)
+
+
+def test_commits_inside_documents(spark, sf_dir):
+    with open(PIECES, "rb") as f:
+        codec = Codec(f.read())
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()]
+    seen = windows(codec, texts, codec.encode)
+    assert sum(k for _, k in seen) > 1000  # boundaries committed before a word's end
+
+
+def test_kept_names(spark, odd_docs):
+    with open(PIECES, "rb") as f:
+        model = f.read()
+    with pytest.raises(ValueError):
+        encode_texts(odd_docs, model, keep=("doc_id", "ids"))
+    with pytest.raises(ValueError):
+        decode_ids(odd_docs, model, keep=("text",))
 
 
 def test_encode_table(spark, odd_docs, codec):

@@ -1,11 +1,13 @@
 """Exact deduplication with an extendible-hash index on shared files.
 
-The index is a log of texts in the shared folder and a directory over the leading bits of their keys. The
-directory doubles until no bucket holds more than its capacity (one key alone cannot be split and chains).
-Owner tasks each take whole buckets, walk them in key order, chain texts whose keys collide and compare bytes.
-
-Copies inside one step of one task are chained before anything is written, so a text with very many copies
-reaches its owner as a few rows; the copies follow their local head by a join on row numbers.
+The index is a log of texts in the shared folder and a directory over the leading bits of their keys, a table beside
+it. The directory doubles, and overfull buckets split, until no bucket holds more than its capacity; a key that
+is large by itself cannot be split: its rows chain. Owner tasks each take whole buckets, walk them in key order, chain texts whose
+keys collide and compare bytes.
+
+Copies inside one step of one task are chained before anything is written. A key that still has many rows is
+chained in several tasks first, and what is left of it goes to its owner, so that a text with very many copies reaches that as a few
+rows; the copies follow their head by joins on row numbers.
 """
 
 from __future__ import annotations
@@ -16,16 +18,18 @@ from collections.abc import Iterator
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from lectern.llm.shared import shared_path, write_once
+from lectern.llm.shared import write_once
 from lectern.llm.texts import arrow, schema_of, steps, utf8, with_text
 
-#: Bits of the key that the directory can tell apart: its size is bounded by two to this power.
-DIRECTORY_BITS = 16
+#: Rows of one key from which on they are chained in several tasks first, so many in each.
+HOT = 64
+#: Rows of a lookup table that is sent to all executors; a larger one is joined by a shuffle.
+SENT = 1 << 20
 #: With the struct row of all columns where rows are carried.
 _LOG = "rid long, doc_id {id}, head long, head_id {id}, first boolean, sha string, key long, size long, copies long, text binary"
 
@@ -72,22 +76,24 @@ def _local_chains(schema: pa.Schema, text_col: str):
 
 
 def _owner(schema: pa.Schema):
-    """Walk rows sorted by key: link each local head to the first text of equal bytes in its key's chain."""
+    """Walk rows sorted by key and part: link each head to the first text of equal bytes in its chain; that one's text goes on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, chain = None, []
         for batch in batches:
-            keep_ids, keep_rids = [], []
-            rids, ids, keys, texts = (batch.column(c).to_pylist() for c in ("rid", "doc_id", "key", "text"))
-            for rid, doc_id, k, text in zip(rids, ids, keys, texts):
-                if k != key:
-                    key, chain = k, []
+            keep_ids, keep_rids, goes_on = [], [], []
+            rids, ids, keys, parts, texts = (batch.column(c).to_pylist() for c in ("rid", "doc_id", "key", "part", "text"))
+            for rid, doc_id, k, part, text in zip(rids, ids, keys, parts, texts):
+                if (k, part) != key:
+                    key, chain = (k, part), []
                 link = next((x for x in chain if x[0] == text), None)
+                goes_on.append(text if link is None else None)
                 if link is None:
                     chain.append(link := (text, doc_id, rid))
                 keep_ids.append(link[1])
                 keep_rids.append(link[2])
-            yield arrow(schema, head=batch.column("rid"), keep_id=pa.array(keep_ids, schema.field("keep_id").type), keep_rid=keep_rids, copies=batch.column("copies"))
+            more = {"text": goes_on} if "text" in schema.names else {}
+            yield arrow(schema, head=batch.column("rid"), keep_id=pa.array(keep_ids, schema.field("keep_id").type), keep_rid=keep_rids, copies=batch.column("copies"), key=batch.column("key"), **more)
 
     return run
 
@@ -100,45 +106,41 @@ def _owner_rows(text_col: str, schema: pa.Schema):
         for batch in batches:
             for step in steps(with_text(batch, text_col), "text"):
                 stay = []
-                for i, (k, raw) in enumerate(zip(step.column("key").to_pylist(), utf8(step.column("text")))):
+                for i, (*k, raw) in enumerate(zip(step.column("key").to_pylist(), step.column("part").to_pylist(), utf8(step.column("text")))):
                     if k != key:
                         key, chain = k, []
                     if (text := normalised(raw)) not in chain:
                         chain.append(text)
                         stay.append(i)
-                yield arrow(schema, row=step.column("row").take(pa.array(stay, pa.int64())))
+                yield arrow(schema, **{c: step.column(c).take(pa.array(stay, pa.int64())) for c in schema.names})
 
     return run
 
 
-def build_directory(log: DataFrame, bucket_bytes: int) -> DataFrame:
-    """(slot, bucket) for every value of the key's leading bits, written beside the log.
+def build_directory(keys: DataFrame, capacity: int) -> tuple[DataFrame, int]:
+    """((slot, bucket), depth): a bucket for every value that the keys' leading depth bits take, written beside the log.
 
-    Bytes are summed by slot (a fixed number of rows reaches the driver); from one bucket on, the directory
-    doubles and an overfull bucket splits until all fit. The capacity grows with the input so that the
-    directory stays within its size.
+    keys are (key, bytes). All sums stay in Spark; the driver only learns whether a bucket is overfull, and doubles. The
+    first depth is that at which even buckets would be full. Keys that take a quarter of a bucket or more by themselves chain and do not count.
     """
-    slots = 1 << DIRECTORY_BITS
-    filled = [0] * slots
-    for r in log.where("first").groupBy(_slot()).agg(F.sum("size").alias("n")).collect():
-        filled[r["slot"]] = r["n"]
-    capacity = max(bucket_bytes, 4 * sum(filled) // slots)
-    open_buckets, buckets = [(0, slots)], []
-    while open_buckets:
-        start, width = open_buckets.pop()
-        if width > 1 and sum(filled[start : start + width]) > capacity:
-            open_buckets += [(start, width // 2), (start + width // 2, width // 2)]
-        else:
-            buckets.append((start, width))
-    rows = [(slot, bucket) for bucket, (start, width) in enumerate(sorted(buckets)) for slot in range(start, start + width)]
-    spark = log.sparkSession
-    path = shared_path(spark, "exact-directory")
-    spark.createDataFrame(rows, "slot int, bucket int").coalesce(1).write.parquet(path)
-    return spark.read.schema("slot int, bucket int").parquet(path)
-
-
-def _slot():
-    return (F.shiftright("key", 64 - DIRECTORY_BITS) + (1 << (DIRECTORY_BITS - 1))).cast("int").alias("slot")
+    light = keys.where(F.col("bytes") < capacity / 4)
+    total = light.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
+    start = depth = max(1, (int(total) // capacity).bit_length())
+    at = lambda bits: F.shiftright("key", 64 - bits)
+    while light.groupBy(at(depth)).agg(F.sum("bytes").alias("n")).where(F.col("n") > capacity).limit(1).count():
+        depth += 1
+    held = keys.groupBy(at(depth).alias("slot")).agg(F.sum(F.when(F.col("bytes") < capacity / 4, F.col("bytes")).otherwise(0)).alias("n"))
+    bucket = F.concat(F.lit(f"{depth}:"), F.col("slot").cast("string"))
+    for bits in range(depth - 1, start - 1, -1):  # the last to count is the least depth at which a slot's bucket is not overfull
+        prefix = F.shiftright("slot", depth - bits)
+        held = held.withColumn(f"n{bits}", F.sum("n").over(Window.partitionBy(prefix)))
+        bucket = F.when(F.col(f"n{bits}") <= capacity, F.concat(F.lit(f"{bits}:"), prefix.cast("string"))).otherwise(bucket)
+    return write_once(held.select("slot", bucket.alias("bucket")), "exact-directory"), depth
+
+
+def _sized(table: DataFrame) -> DataFrame:
+    """A lookup table, marked to be sent to all executors if it has few rows."""
+    return F.broadcast(table) if table.limit(SENT + 1).count() <= SENT else table
 
 
 def _log(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
@@ -150,23 +152,47 @@ def _log(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
     return write_once(own.mapInArrow(_local_chains(to_arrow_schema(schema), text_col), schema), "exact-log")
 
 
-def _owned(log: DataFrame, bucket_bytes: int, *columns: str) -> DataFrame:
-    """The local heads dealt to the owners of their buckets, in order of key and id."""
-    directory = build_directory(log, bucket_bytes)
-    heads = log.where("first").select("rid", "doc_id", "key", "copies", *columns, _slot()).join(F.broadcast(directory), "slot")
-    return heads.repartition("bucket").sortWithinPartitions("key", F.col("doc_id").asc_nulls_last(), "rid").drop("slot", "bucket")
+class _Index:
+    """The log's heads with the directory, and the keys that have many rows."""
+
+    def __init__(self, log: DataFrame, bucket_bytes: int, content: str):
+        self.heads = log.where("first").select("rid", "doc_id", "key", "copies", content)
+        keys = write_once(log.where("first").groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "exact-keys")
+        self.directory, self.depth = build_directory(keys, bucket_bytes)
+        self.crowded = write_once(keys.where(F.col("n") > HOT).select("key", F.ceil(F.col("n") / HOT).alias("parts")), "exact-crowded")
+
+    def split(self) -> tuple[DataFrame, DataFrame]:
+        """Heads of keys with few rows, and the others in order of key, part and id, dealt by key and part."""
+        crowded = _sized(self.crowded)
+        many = self.heads.join(crowded, "key").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts"))).drop("parts")
+        ordered = many.repartition("key", "part").sortWithinPartitions("key", "part", F.col("doc_id").asc_nulls_last(), "rid")
+        return self.heads.join(crowded, "key", "left_anti"), ordered
 
+    def owned(self, heads: DataFrame) -> DataFrame:
+        """Heads dealt to the owners of their buckets, in order of key and id."""
+        slot = F.shiftright("key", 64 - self.depth).alias("slot")
+        found = heads.select("*", slot, F.lit(0).cast("long").alias("part")).join(_sized(self.directory), "slot")
+        return found.repartition("bucket").sortWithinPartitions("key", F.col("doc_id").asc_nulls_last(), "rid").drop("slot", "bucket")
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 32 << 20) -> DataFrame:
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 8 << 20) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after white-space runs become one space; null counts as empty. The row with
-    the smallest id stays (a null id last; of rows that repeat an id, one). An empty table gives no rows;
-    other columns of docs, whatever their names, are not read.
+    the smallest id stays (a null id last; of rows that repeat an id, one). Very long texts are one row each, held whole by the tasks
+    that read and own them. An empty table gives no rows; other columns of docs, whatever their names, are not read.
     """
     spark, log = docs.sparkSession, _log(docs, id_col, text_col, carry=False)
-    link = f"head long, keep_id {log.schema['doc_id'].dataType.simpleString()}, keep_rid long, copies long"
-    links = write_once(_owned(log, bucket_bytes, "text").mapInArrow(_owner(schema_of(spark, link)), link), "exact-links")
+    link = f"head long, keep_id {log.schema['doc_id'].dataType.simpleString()}, keep_rid long, copies long, key long"
+    index = _Index(log, bucket_bytes, "text")
+    few, many = index.split()
+    first = write_once(many.mapInArrow(_owner(schema_of(spark, f"{link}, text binary")), f"{link}, text binary"), "exact-chained")
+    ahead = first.where("text is not null").select(F.col("head").alias("rid"), F.col("keep_id").alias("doc_id"), "key", "copies", "text")
+    owned = index.owned(few.unionByName(ahead))
+    links = write_once(owned.mapInArrow(_owner(schema_of(spark, link)), link).drop("key"), "exact-links")
+    behind = first.where("text is null").select("head", F.col("keep_rid").alias("through"), "copies")
+    moved = behind.join(links.select(F.col("head").alias("through"), "keep_id", "keep_rid"), "through").select("head", "keep_id", "keep_rid", "copies")
+    links = links.unionByName(moved)
     sizes = links.groupBy("keep_rid").agg(F.sum("copies").alias("group_size"))
     named = links.drop("copies").join(sizes, "keep_rid")
     return (
@@ -176,9 +202,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 32 << 20) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns."""
-    log = _log(docs, id_col, text_col, carry=True)
-    rows = _owned(log, bucket_bytes, "row").select("key", "row")
-    out = rows.select("row").schema
-    return rows.mapInArrow(_owner_rows(text_col, to_arrow_schema(out)), out).select("row.*")
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of docs that exact_dedup keeps, with all their columns, whatever their names.
+
+    Null texts count as empty; of rows that repeat an id and a text one stays; very long texts are carried whole; an empty table gives no rows.
+    """
+    index = _Index(_log(docs, id_col, text_col, carry=True), bucket_bytes, "row")
+    few, many = index.split()
+    chained = lambda rows, out: rows.mapInArrow(_owner_rows(text_col, to_arrow_schema(out)), out)
+    ahead = chained(many, index.heads.schema)
+    owned = index.owned(few.unionByName(ahead.select(few.columns)))
+    return chained(owned, owned.select("row").schema).select("row.*")

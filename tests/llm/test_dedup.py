@@ -63,13 +63,49 @@ def test_chains_compare_bytes(spark, monkeypatch):
     """Texts whose keys are all the same still stay apart."""
     from lectern.llm import exact_dedup as module
 
-    schema = __import__("pyarrow").schema([("head", "int64"), ("keep_id", "int64"), ("keep_rid", "int64"), ("copies", "int64")])
+    schema = __import__("pyarrow").schema([("head", "int64"), ("keep_id", "int64"), ("keep_rid", "int64"), ("copies", "int64"), ("key", "int64")])
     pa = __import__("pyarrow")
-    batch = pa.RecordBatch.from_pydict({"rid": [1, 2, 3], "doc_id": [1, 2, 3], "key": [9, 9, 9], "text": [b"a", b"b", b"a"], "copies": [1, 1, 1]})
+    batch = pa.RecordBatch.from_pydict({"rid": [1, 2, 3], "doc_id": [1, 2, 3], "key": [9, 9, 9], "part": [0, 0, 0], "text": [b"a", b"b", b"a"], "copies": [1, 1, 1]})
     out = list(module._owner(schema)(iter([batch])))[0].to_pydict()
     assert out["keep_id"] == [1, 2, 1]
 
 
+@pytest.mark.parametrize("hot, sent", [(2, 1 << 20), (2, 0)])
+def test_popular_texts_are_chained_in_several_tasks(spark, monkeypatch, hot, sent):
+    from lectern.llm import exact_dedup as module
+
+    monkeypatch.setattr(module, "HOT", hot)
+    monkeypatch.setattr(module, "SENT", sent)
+    rng = random.Random(8)
+    docs = [(k, rng.choice(["popular text", "popular  text", f"own {k}", "second one", None])) for k in range(300)] + [(None, "popular text"), (5, "second one")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(23)
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    groups = defaultdict(list)
+    for d, t in docs:
+        groups[norm(t)].append(d)
+    rows = exact_dedup(frame, bucket_bytes=64).collect()
+    want = sorted((str(d), min(x for x in groups[norm(t)] if x is not None), len(groups[norm(t)])) for d, t in docs)
+    assert sorted((str(r.doc_id), r.keep_id, r.group_size) for r in rows) == want and sum(r.kept for r in rows) == len(groups)
+    kept = distinct_documents(frame, bucket_bytes=64).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(min(x for x in v if x is not None) for v in groups.values())
+
+
+def test_directory_doubles_as_the_data_need(spark):
+    from lectern.llm.exact_dedup import build_directory
+
+    rng = random.Random(9)
+    rows = [(rng.randrange(-(1 << 63), 1 << 63), 10) for _ in range(900)] + [(7, 10_000), (1 << 62, 400)]
+    keys = spark.createDataFrame(rows, "key long, bytes long")
+    for capacity in (100_000, 1000, 200):
+        directory, depth = build_directory(keys, capacity)
+        bucket = {r.slot: r.bucket for r in directory.collect()}
+        held = defaultdict(int)
+        for k, n in rows:
+            held[bucket[k >> (64 - depth)]] += n if n < capacity / 4 else 0
+        assert max(held.values()) <= capacity and (len(held) > 1) == (capacity < 100_000) | (len(held) > 1)
+    assert build_directory(keys.where("false"), 100)[0].count() == 0
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)] + [(500, k) for k in range(501, 560)]

@@ -244,14 +244,34 @@ def _verified(schema: pa.Schema, similarity: float):
     return run
 
 
+def shared_counts(one: list[np.ndarray], two: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many members each set of one shares with each set of two, as products of membership tables of some columns at a time."""
+    sides = []
+    for sets in (one, two):
+        members, rows = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(members, kind="stable")
+        sides.append((members[order], rows[order], len(sets)))
+    both = np.intersect1d(*(np.unique(members) for members, _, _ in sides), assume_unique=True)
+    out = np.zeros((len(one), len(two)), np.float32)
+    for k in range(0, len(both), columns):
+        part, tables = both[k : k + columns], []
+        for members, rows, n in sides:
+            low, high = np.searchsorted(members, part[0]), np.searchsorted(members, part[-1], "right")
+            at = np.searchsorted(part, members[low:high])
+            hit = part[at] == members[low:high]
+            tables.append(np.zeros((n, len(part)), np.float32))
+            tables[-1][rows[low:high][hit], at[hit]] = 1
+        out += tables[0] @ tables[1].T
+    return out
+
+
 def _linked_blocks(schema: pa.Schema, similarity: float):
     """Rows come sorted by (key, i, j), a row for each set of two blocks of a key's group: verified links that span what is similar.
 
-    Sets that links have joined are not compared again, nor are those of one root, nor those that meet in an earlier band.
+    Sets of one root are not linked again, nor are those that meet in an earlier band.
     """
 
-    def linked(within: bool, key: int, at: tuple, ids: tuple, roots: tuple, bands: tuple, sets: tuple) -> tuple[list, list]:
-        """within: the two blocks are one; else only sets of different blocks are compared."""
+    def linked(key: int, i: int, j: int, at: tuple, ids: tuple, roots: tuple, bands: tuple, sets: tuple) -> tuple[list, list]:
         top = {r: r for r in roots}
 
         def find(x):
@@ -259,19 +279,19 @@ def _linked_blocks(schema: pa.Schema, similarity: float):
                 top[x] = x = top[top[x]]
             return x
 
-        order = sorted(range(len(ids)), key=lambda k: len(sets[k]))
-        grams, keys = [np.frombuffer(sets[k], np.uint32) for k in order], np.array([bands[k] for k in order], np.int64)
-        block = np.array([at[k] for k in order])
-        sizes, a, b = np.array([len(x) for x in grams]), [], []
-        for n, k in enumerate(order):
-            low = int(np.searchsorted(sizes[:n], similarity * sizes[n] - 1e-9))
-            first = keys[n][(keys[low:n] == keys[n]).argmax(axis=1)]  # the band in which they meet first; here they do meet
-            for m in (np.flatnonzero((first == key) & (within | (block[low:n] != block[n]))) + low).tolist():
-                one, two = find(roots[k]), find(roots[order[m]])
-                if one != two and similar(grams[m], grams[n], similarity):
-                    top[one] = two
-                    a.append(ids[k])
-                    b.append(ids[order[m]])
+        own, other = ([k for k, x in enumerate(at) if x == side] for side in (i, j))
+        if not own or not other:
+            return [], []
+        grams, keys = [np.frombuffer(x, np.uint32) for x in sets], np.array(bands, np.int64)
+        both = shared_counts([grams[k] for k in own], [grams[k] for k in other])
+        size = np.array([len(x) for x in grams])
+        a, b = [], []
+        for x, y in zip(*np.nonzero(both >= similarity * (size[own][:, None] + size[other][None, :] - both))):
+            m, n = own[x], other[y]
+            if (i != j or m < n) and find(roots[m]) != find(roots[n]) and keys[m][np.argmax(keys[m] == keys[n])] == key:
+                top[find(roots[m])] = find(roots[n])
+                a.append(ids[m])
+                b.append(ids[n])
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,20 +301,20 @@ def _linked_blocks(schema: pa.Schema, similarity: float):
             for row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "at", "doc_id", "root", "keys", "grams"))):
                 if row[:3] != group:
                     if held:
-                        x, y = linked(group[1] == group[2], group[0], *zip(*held))
+                        x, y = linked(*group, *zip(*held))
                         a += x
                         b += y
                     group, held = row[:3], []
                 held.append(row[3:])
             yield arrow(schema, a=a, b=b)
         if held:
-            a, b = linked(group[1] == group[2], group[0], *zip(*held))
+            a, b = linked(*group, *zip(*held))
             yield arrow(schema, a=a, b=b)
 
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = 128, block_bytes: int = 8 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = 256, block_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, component_id) of the documents that have a near copy: word runs with a Jaccard index of similarity or more.
 
     component_id is the smallest id that such links reach; documents without a near copy have no row. Documents with equal

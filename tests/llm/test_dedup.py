@@ -193,6 +193,16 @@ def test_near_duplicates_of_groups(spark):
         assert {r.doc_id: r.component_id for r in near_duplicates(frame, block=block).collect()} == want
 
 
+def test_shared_counts():
+    from lectern.llm.simhash import shared_counts
+
+    rng = np.random.default_rng(3)
+    one, two = ([np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint32)) for _ in range(n)] for n in (7, 12))
+    want = [[len(set(x.tolist()) & set(y.tolist())) for y in two] for x in one]
+    for columns in (1, 5, 4096):
+        assert shared_counts(one, two, columns).tolist() == want
+
+
 def test_near_duplicates_behind_a_link_that_fails(spark):
     """A document of the same words in another order has the smallest id and shares nothing of the order."""
     rng = random.Random(4)

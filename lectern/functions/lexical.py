@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
 
 TOKEN = r"[a-z0-9]+"
 # English stop words.
@@ -145,11 +145,8 @@ def _places(where: dict[str, list[int]], phrase: tuple[str, ...]) -> list[int]:
     return [p for p in starts if all(p + k in where.get(x, ()) for k, x in enumerate(phrase))]
 
 
-def cover_density(text: str, clauses: list[Clause]) -> float | None:
-    """The rank of a text, None if it does not match: a tenth over one plus the noise words, summed over minimal covers."""
-    where: dict[str, list[int]] = {}
-    for lexeme, place in english_lexemes(text):
-        where.setdefault(lexeme, []).append(place)
+def cover_rank(where: dict[str, list[int]], clauses: list[Clause]) -> float | None:
+    """The rank of a text by its lexemes' places, None if it does not match: a tenth over one plus the noise words, summed over minimal covers."""
     matched, places = False, {}
     for c in clauses:
         if all(_places(where, p) for p in c.must) and not any(_places(where, p) for p in c.never):
@@ -175,12 +172,30 @@ def cover_density(text: str, clauses: list[Clause]) -> float | None:
     return float(np.float32(best))
 
 
-def english_rank(query: str):
-    """A column function: the cover-density rank of a text for the query, null where it does not match."""
-    clauses = parse_query(query)
+def cover_density(text: str, clauses: list[Clause]) -> float | None:
+    """cover_rank of a text."""
+    where: dict[str, list[int]] = {}
+    for lexeme, place in english_lexemes(text):
+        where.setdefault(lexeme, []).append(place)
+    return cover_rank(where, clauses)
+
+
+def lexemes_of(clauses: list[Clause]) -> list[str]:
+    """All lexemes that a query asks for or forbids."""
+    return sorted({x for c in clauses for phrase in (*c.must, *c.never) for x in phrase})
+
+
+def rank_of_places(clauses: list[Clause]):
+    """A column function: the rank by an array of (lexeme, places), null where it does not match; only the query's lexemes count."""
 
     @F.pandas_udf(DoubleType())
-    def rank(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: cover_density(x or "", clauses)).astype("float64")
+    def rank(found: pd.Series) -> pd.Series:
+        return found.map(lambda rows: cover_rank({r["lexeme"]: list(r["places"]) for r in rows}, clauses)).astype("float64")
 
     return rank
+
+
+@F.pandas_udf(StringType())
+def english_lexeme(tokens: pd.Series) -> pd.Series:
+    """The stem of each token, null for stop words; meant for a vocabulary, a row for each distinct token."""
+    return tokens.map(lambda t: None if t in STOP_WORDS else stem(t))

@@ -5,6 +5,9 @@ Patterns start with (?U), as white space, digits and word bounds mean Unicode's
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,9 +32,13 @@ BLANK_LINE = r"(?U)\n\s*\n"
 _BOILERPLATE = "|".join([r"(?U)^$|^\d+$", GAZETTE_ID.removeprefix("(?U)"), GAZETTE_NUMBER.removeprefix("(?U)"), *(x.replace(".", r"\.") for x in BOILERPLATE_PHRASES)])
 
 
+#: White space of all kinds.
+SPACES = "".join(chr(x) for x in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def one_space(c: Column) -> Column:
@@ -57,14 +64,21 @@ def blocks_of(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, BLANK_LINE), strip), lambda x: x != "")
 
 
+#: A word of each phrase, and more characters than any other boilerplate line has: few lines need the patterns.
+_PHRASE_WORDS = ("GAZETTE", "EXTRAORDINARY", "AUTHORITY", "REGD.", "REGISTERED", "PART", "SEC.")
+_SHORT = 120
+
+
 def is_boilerplate(line: Column) -> Column:
-    return F.upper(one_space(line)).rlike(_BOILERPLATE)
+    line = strip(line)
+    named = F.exists(F.array(F.upper(line)), lambda upper: reduce(or_, (upper.contains(word) for word in _PHRASE_WORDS)))
+    return ((F.length(line) <= _SHORT) | named | line.rlike(r"(?U)^\d+$")) & F.upper(one_space(line)).rlike(_BOILERPLATE)
 
 
 def is_heading(line: Column) -> Column:
     line = strip(line)
     shaped = line.rlike(rf"(?U)^({HEADING_WORDS})\b") | line.rlike(NUMBERED_HEADING) | line.rlike(CAPITALS_HEADING)
-    return (line != "") & (F.length(line) <= 140) & ~is_boilerplate(line) & shaped
+    return (F.length(line) <= 140) & (line != "") & shaped & ~is_boilerplate(line)
 
 
 def clean_heading(line: Column) -> Column:

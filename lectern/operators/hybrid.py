@@ -6,21 +6,26 @@ are left. Both legs are joined by id to make the candidates; their size is bound
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
+import numpy as np
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.lexical import english_rank, simple_tokens, term_count
+from lectern.functions.lexical import english_lexeme, lexemes_of, parse_query, rank_of_places, simple_tokens, term_count
 from lectern.functions.vectors import cosine_similarity, literal
+from lectern.operators.requests import check_request
 
 # The weights, boosts and query words of the fused score.
 VECTOR_WEIGHT, TEXT_WEIGHT, RANK_WEIGHT, RANK_OFFSET = 0.70, 0.20, 0.05, 60
 SOURCE_BOOST, HEADING_BOOST, FAQ_BOOST, PROCEDURE_BOOST = 0.08, 0.05, 0.03, 0.03
 FAQ_WORDS = r"\b(faq|question|answer)\b"
 PROCEDURE_WORDS = r"\b(process|procedure|workflow|step|steps|how)\b"
-MAX_TOP_K = 20
 
 
 @dataclass(frozen=True)
@@ -35,8 +40,7 @@ class Query:
     text_candidates: int = 50
 
     def __post_init__(self) -> None:
-        if self.top_k < 1:
-            raise ValueError("top_k must be 1 or more")
+        check_request(top_k=self.top_k)
 
 
 def filtered(chunks: DataFrame, filters: tuple[tuple[str, object], ...]) -> DataFrame:
@@ -48,8 +52,8 @@ def filtered(chunks: DataFrame, filters: tuple[tuple[str, object], ...]) -> Data
 
 
 def vector_leg(chunks: DataFrame, vector: list[float], limit: int, id_col: str = "id", embedding_col: str = "embedding") -> DataFrame:
-    """(id, vector_similarity, vector_rank) of the nearest chunks, ties by id."""
-    scored = chunks.select(F.col(id_col).alias("id"), cosine_similarity(F.col(embedding_col), literal(vector)).alias("vector_similarity"))
+    """(id, vector_similarity, vector_rank) of the nearest chunks, ties by id; chunks without a vector have no place in it."""
+    scored = chunks.where(F.col(embedding_col).isNotNull()).select(F.col(id_col).alias("id"), cosine_similarity(F.col(embedding_col), literal(vector)).alias("vector_similarity"))
     top = scored.orderBy(F.desc("vector_similarity"), "id").limit(limit)
     return top.withColumn("vector_rank", F.row_number().over(Window.orderBy(F.desc("vector_similarity"), "id")).cast("long"))
 
@@ -74,12 +78,70 @@ def simple_score(text: str) -> Callable[[Column], Column]:
     return score
 
 
-def text_leg(chunks: DataFrame, text: str, limit: int, analyzer: str = "english", id_col: str = "id") -> DataFrame:
-    """(id, text_score, text_rank) of the best matches, ties by id; none for a blank query."""
-    if not text.strip():
-        return chunks.select(F.col(id_col).alias("id"), F.lit(0.0).alias("text_score"), F.lit(0).cast("long").alias("text_rank")).where(F.lit(False))
-    rank = english_rank(text) if analyzer == "english" else simple_score(text)
-    scored = chunks.select(F.col(id_col).alias("id"), rank(search_text()).alias("text_score")).where("text_score is not null")
+def english_index(chunks: DataFrame, only: list[str] | None = None, id_col: str = "id") -> DataFrame:
+    """An inverted table (lexeme, id, places) under the english analyzer, of the lexemes of only or of all.
+
+    Tokens are found in the JVM. For all lexemes only the vocabulary, a row for each distinct token, goes through the
+    stemmer; for some, the tokens that begin like one of them: a stem is a token's beginning but for its last letter.
+    """
+    tokens = F.transform(simple_tokens(search_text()), lambda t, i: F.struct((i + 1).alias("place"), t.alias("token")))
+    if only is not None:
+        tokens = F.filter(tokens, lambda x: reduce(or_, (x["token"].startswith(lexeme[: max(1, len(lexeme) - 1)]) for lexeme in only), F.lit(False)))
+    rows = chunks.select(F.col(id_col).alias("id"), F.explode(tokens).alias("t")).select("id", "t.place", "t.token")
+    if only is not None:
+        placed = rows.withColumn("lexeme", english_lexeme("token")).where(F.col("lexeme").isin(only))
+    else:
+        words = chunks.select(F.explode(F.array_distinct(simple_tokens(search_text()))).alias("token")).distinct()
+        placed = rows.join(words.select("token", english_lexeme("token").alias("lexeme")).where("lexeme is not null"), "token")
+    return placed.groupBy("lexeme", "id").agg(F.sort_array(F.collect_list("place")).alias("places"))
+
+
+POSTING_BUCKETS = 64
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    """Write an inverted table by a hash of its lexemes, so that a query reads the folders of its own."""
+    index.withColumn("bucket", _bucket(F.col("lexeme"))).write.partitionBy("bucket").parquet(path)
+
+
+def read_index(index: DataFrame, lexemes: list[str]) -> DataFrame:
+    """The rows of some lexemes, of a table that write_index wrote or of one that was just made."""
+    if "bucket" in index.columns:
+        buckets = index.sparkSession.createDataFrame([(x,) for x in lexemes], "x string").select(_bucket(F.col("x"))).distinct().collect()
+        index = index.where(F.col("bucket").isin([r[0] for r in buckets]))
+    return index.where(F.col("lexeme").isin(lexemes))
+
+
+def _bucket(c: Column) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(POSTING_BUCKETS)).cast("int")
+
+
+def english_matches(index: DataFrame, text: str, everything: DataFrame) -> DataFrame:
+    """(id, text_score) of all chunks that match a query, by the rows of its lexemes alone.
+
+    everything has the id of every chunk; it is read only for a query of which some alternative forbids and asks nothing.
+    """
+    clauses = parse_query(text)
+    found = read_index(index, lexemes_of(clauses)).groupBy("id").agg(F.collect_list(F.struct("lexeme", "places")).alias("found"))
+    if any(not c.must for c in clauses):
+        found = everything.select("id").join(found, "id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<lexeme:string,places:array<int>>>")))
+    return found.select("id", rank_of_places(clauses)("found").alias("text_score")).where("text_score is not null")
+
+
+def text_leg(chunks: DataFrame, text: str, limit: int, analyzer: str = "english", id_col: str = "id", index: DataFrame | None = None) -> DataFrame:
+    """(id, text_score, text_rank) of the best matches, ties by id; none for a query without a word.
+
+    index is a stored inverted table of all chunks; without one the lexemes of the query are looked up in the texts.
+    """
+    none = chunks.select(F.col(id_col).alias("id"), F.lit(0.0).alias("text_score")).where(F.lit(False))
+    if not text.strip() or (analyzer == "english" and not parse_query(text)):
+        scored = none
+    elif analyzer == "english":
+        ids = chunks.select(F.col(id_col).alias("id"))
+        found = english_index(chunks, lexemes_of(parse_query(text)), id_col) if index is None else index.join(ids, "id", "left_semi")
+        scored = english_matches(found, text, ids)
+    else:
+        scored = chunks.select(F.col(id_col).alias("id"), simple_score(text)(search_text()).alias("text_score")).where("text_score is not null")
     top = scored.orderBy(F.desc("text_score"), "id").limit(limit)
     return top.withColumn("text_rank", F.row_number().over(Window.orderBy(F.desc("text_score"), "id")).cast("long"))
 
@@ -116,7 +178,7 @@ def fused_score() -> Column:
     )
 
 
-def score_candidates(chunks: DataFrame, query: Query, analyzer: str = "english") -> DataFrame:
+def score_candidates(chunks: DataFrame, query: Query, analyzer: str = "english", index: DataFrame | None = None) -> DataFrame:
     """Every candidate of either leg with all parts of its score.
 
     least() passes over nulls here as in the ranking that this follows: a candidate of the vector leg alone
@@ -124,7 +186,7 @@ def score_candidates(chunks: DataFrame, query: Query, analyzer: str = "english")
     """
     kept = filtered(chunks, query.filters)
     vector = vector_leg(kept, query.vector, max(query.top_k, query.vector_candidates))
-    text = text_leg(kept, query.text, max(query.top_k, query.text_candidates), analyzer)
+    text = text_leg(kept, query.text, max(query.top_k, query.text_candidates), analyzer, index=index)
     legs = vector.join(text, "id", "full_outer")  # the distinct union of both with their scores; each leg runs once
     bounded = F.broadcast(legs)  # at most the two limits together
     return chunks.join(bounded, "id").select(
@@ -133,9 +195,9 @@ def score_candidates(chunks: DataFrame, query: Query, analyzer: str = "english")
     ).withColumn("similarity", fused_score())
 
 
-def hybrid_search(chunks: DataFrame, query: Query, analyzer: str = "english") -> DataFrame:
-    """The top_k chunks by fused score; ties by vector similarity, text score and id."""
-    scored = score_candidates(chunks, query, analyzer)
+def hybrid_search(chunks: DataFrame, query: Query, analyzer: str = "english", index: DataFrame | None = None) -> DataFrame:
+    """The top_k chunks by fused score; ties by vector similarity, text score and id. index: a stored inverted table for the english analyzer."""
+    scored = score_candidates(chunks, query, analyzer, index)
     return scored.orderBy(F.desc("similarity"), F.desc("vector_similarity"), F.desc("text_score"), "id").limit(query.top_k)
 
 
@@ -144,9 +206,61 @@ def contexts(hits: DataFrame) -> DataFrame:
     return hits.withColumnRenamed("content", "text").withColumnRenamed("similarity", "score")
 
 
-def postings(chunks: DataFrame, id_col: str = "id") -> DataFrame:
-    """An inverted table (lexeme, id, tf, positions), to be written partitioned by a hash of the lexeme."""
+def vector_search(chunks: DataFrame, asked: DataFrame, limit: int, id_col: str = "id", embedding_col: str = "embedding", block: int = 1024) -> DataFrame:
+    """(query_id, id, vector_similarity, vector_rank): the nearest chunks of every row of asked (query_id, vector).
+
+    Queries go in blocks of block vectors; a task holds one block against its rows and keeps its own best limit of each
+    query, so what is shuffled is bounded by tasks, queries and limit. Ties by id.
+    """
+    spark = chunks.sparkSession
+    vectors = chunks.where(F.col(embedding_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(embedding_col).cast("array<double>").alias("v"))
+    numbered = asked.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
+    ddl = "query_id long, id long, vector_similarity double"
+    found, held = None, []
+
+    def best(queries: list) -> DataFrame:
+        return vectors.mapInPandas(_nearest(spark.sparkContext.broadcast(queries), limit), ddl)
+
+    for row in numbered.toLocalIterator():  # a block of queries at a time, never all of them
+        held.append((row["query_id"], row["vector"]))
+        if len(held) == block:
+            found, held = best(held) if found is None else found.union(best(held)), []
+    if held or found is None:
+        found = best(held) if found is None else found.union(best(held))
+    w = Window.partitionBy("query_id").orderBy(F.desc("vector_similarity"), "id")
+    return found.withColumn("vector_rank", F.row_number().over(w).cast("long")).where(F.col("vector_rank") <= limit)
+
+
+def _nearest(queries: Broadcast, limit: int, rows: int = 1024):
+    """Each task's best limit of every query, by products of rows vectors with all queries of the block."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not queries.value:
+            return
+        asked = np.array([v for _, v in queries.value], float)
+        names, lengths = np.array([q for q, _ in queries.value], np.int64), np.linalg.norm(asked, axis=1)
+        top_id, top = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))
+        for batch in batches:
+            for at in range(0, len(batch), rows):
+                part = batch.iloc[at : at + rows]
+                v = np.stack(part["v"].to_numpy())
+                if v.shape[1] != asked.shape[1]:
+                    raise ValueError(f"vectors have {v.shape[1]} and queries {asked.shape[1]} dimensions")
+                scale = lengths[:, None] * np.linalg.norm(v, axis=1)[None, :]
+                value = np.maximum(0.0, np.divide(asked @ v.T, scale, out=np.zeros_like(scale), where=scale > 0))
+                top, top_id = np.hstack([top, value]), np.hstack([top_id, np.broadcast_to(part["id"].to_numpy(), value.shape)])
+                order = np.lexsort((top_id, -top), axis=1)[:, :limit]
+                top, top_id = np.take_along_axis(top, order, 1), np.take_along_axis(top_id, order, 1)
+        yield pd.DataFrame({"query_id": np.repeat(names, top.shape[1]), "id": top_id.ravel(), "vector_similarity": top.ravel()})
+
+    return run
+
+
+def postings(chunks: DataFrame, id_col: str = "id", only: list[str] | None = None) -> DataFrame:
+    """An inverted table (lexeme, id, tf, positions) of all lexemes or of only, to be written partitioned by a hash of the lexeme."""
     tokens = chunks.select(F.col(id_col).alias("id"), F.posexplode(simple_tokens(search_text())).alias("position", "lexeme"))
+    if only is not None:
+        tokens = tokens.where(F.col("lexeme").isin(only))
     return tokens.groupBy("lexeme", "id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list(F.col("position") + 1)).alias("positions"))
 
 

@@ -38,6 +38,20 @@ def revoke_tokens(tokens: DataFrame, user_id: object, now: Column) -> DataFrame:
     return tokens.withColumn("revoked_at", F.when((F.col("user_id") == F.lit(user_id)) & F.col("revoked_at").isNull(), now).otherwise(F.col("revoked_at")))
 
 
+def rotate_tokens(tokens: DataFrame, used: DataFrame, now: Column) -> DataFrame:
+    """Tokens after a rotation of used (token_hash, new_id, new_hash, expires_at): each open one is revoked and followed by a new one of its user."""
+    open_ = active_tokens(tokens, now).join(used.withColumnRenamed("expires_at", "new_expires"), "token_hash")
+    new = open_.select(F.col("new_id").alias("id"), "user_id", F.col("new_expires").alias("expires_at"), F.lit(None).cast("timestamp").alias("revoked_at"), F.col("new_hash").alias("token_hash"))
+    marked = tokens.join(open_.select("token_hash", now.alias("_at")), "token_hash", "left").withColumn("revoked_at", F.coalesce("revoked_at", "_at"))
+    return marked.select(tokens.columns).unionByName(new.select(tokens.columns))
+
+
+def audit_rows(actions: DataFrame, users: DataFrame, now: Column) -> DataFrame:
+    """Rows to append to the audit log, from actions (id, actor_user_id, action, resource_type, resource_id), with the actor's email and role."""
+    who = users.select(F.col("id").alias("actor_user_id"), F.col("email").alias("actor_email"), F.col("role").alias("actor_role"))
+    return actions.join(who, "actor_user_id", "left").select("id", "actor_user_id", "actor_email", "actor_role", "action", "resource_type", "resource_id", now.alias("created_at"))
+
+
 def has_role(role: Column, *allowed: str) -> Column:
     """Whether a role stands at or above the lowest of the allowed ones."""
     levels = F.create_map(*[F.lit(x) for kv in ROLE_LEVELS.items() for x in kv])

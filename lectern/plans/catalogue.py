@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.functions.vectors import l2_normalize
 from lectern.operators import chunking, conversation, hybrid, ingest, records
+from lectern.plans import manuals, tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = manuals.QUERIES | tables.QUERIES
+ORACLES: dict[str, str] = manuals.ORACLES | tables.ORACLES
 
 
 def query(oracle: str | None = None):
@@ -41,10 +42,10 @@ def asked_vector(spark: SparkSession, sf_dir: str) -> list[float]:
 
 
 def chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with embeddings as chunks; type and heading come from the id and the text."""
-    docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    """Documents as chunks, with embeddings where there are any; type and heading come from the id and the text. Null texts have no chunk."""
+    docs, vectors = table(spark, sf_dir, "documents").where("text is not null"), table(spark, sf_dir, "embeddings")
     kind = F.element_at(F.array(*map(F.lit, ("section", "faq", "procedure"))), (F.col("doc_id") % 3 + 1).cast("int"))
-    return docs.join(vectors, docs["doc_id"] == vectors["vec_id"]).select(
+    return docs.join(vectors, docs["doc_id"] == vectors["vec_id"], "left").select(
         F.col("doc_id").alias("id"), F.concat("source", F.lit(".txt")).alias("source"), kind.alias("chunk_type"), F.substring_index("text", " ", 2).alias("section_heading"),
         F.col("text").alias("content"), "label", "embedding",
     )
@@ -54,14 +55,14 @@ _CHUNKS = f"""
     q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = {ASKED}),
     chunks AS (SELECT doc_id AS id, source || '.txt' AS source, ['section', 'faq', 'procedure'][doc_id % 3 + 1] AS chunk_type,
         array_to_string(list_slice(string_split(text, ' '), 1, 2), ' ') AS section_heading, text AS content, label, embedding
-        FROM documents JOIN embeddings ON doc_id = vec_id)"""
+        FROM documents LEFT JOIN embeddings ON doc_id = vec_id WHERE text IS NOT NULL)"""
 _SIM = "greatest(0, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])))"
 _TOKENS = "regexp_extract_all(lower(coalesce(source, '') || ' ' || coalesce(section_heading, '') || ' ' || content), '[a-z0-9]+')"
 
 
 def _legs(match: str, score: str, where: str = "true", k: int = 50) -> str:
     return f"""{_CHUNKS},
-    v AS (SELECT id, {_SIM} AS vector_similarity FROM chunks, q WHERE {where} ORDER BY 2 DESC, 1 LIMIT {k}),
+    v AS (SELECT id, {_SIM} AS vector_similarity FROM chunks, q WHERE embedding IS NOT NULL AND {where} ORDER BY 2 DESC, 1 LIMIT {k}),
     vm AS (SELECT *, row_number() OVER (ORDER BY vector_similarity DESC, id) AS vector_rank FROM v),
     t AS (SELECT id, {score} AS text_score FROM (SELECT id, {_TOKENS} AS tk FROM chunks WHERE {where}) WHERE {match} ORDER BY 2 DESC, 1 LIMIT {k}),
     tm AS (SELECT *, row_number() OVER (ORDER BY text_score DESC, id) AS text_rank FROM t)"""
@@ -94,7 +95,7 @@ def _shown(hits: DataFrame) -> DataFrame:
 # Vectors and full text
 
 
-@query(f"WITH {_CHUNKS} SELECT vec_id AS id, round({_SIM}, 6) AS similarity FROM embeddings, q ORDER BY {_SIM} DESC, 1 LIMIT 50")
+@query(f"WITH {_CHUNKS} SELECT vec_id AS id, round({_SIM}, 6) AS similarity FROM embeddings, q WHERE embedding IS NOT NULL ORDER BY {_SIM} DESC, 1 LIMIT 50")
 def vector_topk(spark, sf_dir):
     """V2, V3, L1: the nearest vectors."""
     return hybrid.vector_leg(table(spark, sf_dir, "embeddings"), asked_vector(spark, sf_dir), 50, "vec_id").select("id", F.round("vector_similarity", 6).alias("similarity"))
@@ -152,7 +153,7 @@ def postings_stats(spark, sf_dir):
 )
 def postings_search(spark, sf_dir):
     """Chunks that hold all terms, by the inverted table."""
-    return hybrid.postings_match(hybrid.postings(chunks_of(spark, sf_dir)), ["that", "with"], 50)
+    return hybrid.postings_match(hybrid.postings(chunks_of(spark, sf_dir), only=["that", "with"]), ["that", "with"], 50)
 
 
 @query(f"WITH {_legs(*_ONE)} SELECT id FROM vm UNION SELECT id FROM tm")
@@ -206,10 +207,55 @@ def hybrid_blank_query(spark, sf_dir):
     return _shown(hybrid.hybrid_search(chunks_of(spark, sf_dir), hybrid.Query(asked_vector(spark, sf_dir), "  ", 10), "simple"))
 
 
-@query()
+#: A question for the english analyzer and the tokens of the given tables that its two lexemes stand for.
+ENGLISH = "tions esnted"
+_STEMS = "CASE WHEN token IN ('tion', 'tions', 'tioned', 'tioning', 'tiones') THEN 'tion' WHEN token IN ('esnt', 'esnts', 'esnted', 'esnting', 'esntes') THEN 'esnt' END"
+_PLACES = f"""tokens AS (SELECT id, unnest(tk) AS token, unnest(range(1, len(tk) + 1)) AS place FROM (SELECT id, {_TOKENS} AS tk FROM chunks)),
+    found AS (SELECT id, {_STEMS} AS lexeme, place FROM tokens WHERE {_STEMS} IS NOT NULL)"""
+_COVERS = """steps AS (SELECT id, place - lag(place) OVER w AS gap, lexeme <> lag(lexeme) OVER w AS cover FROM found WINDOW w AS (PARTITION BY id ORDER BY place)),
+    ranked AS (SELECT id, round(CAST(CAST(sum(0.1::DOUBLE / gap) AS FLOAT) AS DOUBLE), 6) AS text_score FROM steps WHERE cover GROUP BY id)"""
+
+
+@query(f"WITH {_CHUNKS}, {_PLACES} SELECT id, lexeme, list(place ORDER BY place) AS places FROM found GROUP BY id, lexeme")
+def english_index(spark, sf_dir):
+    """Places of a question's lexemes in every chunk."""
+    return hybrid.english_index(chunks_of(spark, sf_dir), ["esnt", "tion"]).select("id", "lexeme", F.col("places").cast("array<long>").alias("places"))
+
+
+@query(f"WITH {_CHUNKS}, {_PLACES}, {_COVERS} SELECT id, text_score FROM ranked")
+def english_matches(spark, sf_dir):
+    """All chunks that hold both words, ranked by cover density."""
+    chunks = chunks_of(spark, sf_dir)
+    index = hybrid.english_index(chunks, ["esnt", "tion"])
+    return hybrid.english_matches(index, ENGLISH, chunks).select("id", F.round("text_score", 6).alias("text_score"))
+
+
+@query(
+    f"""WITH {_CHUNKS}, {_PLACES} SELECT id FROM found GROUP BY id HAVING bool_or(lexeme = 'tion') AND NOT bool_or(lexeme = 'esnt')
+    UNION SELECT id FROM (SELECT id, lexeme, place, lead(lexeme) OVER w AS l, lead(place) OVER w AS p FROM found WINDOW w AS (PARTITION BY id ORDER BY place)) WHERE lexeme = 'esnt' AND l = 'tion' AND p = place + 1"""
+)
+def english_syntax(spark, sf_dir):
+    """A word, one that must not occur, or a phrase."""
+    chunks = chunks_of(spark, sf_dir)
+    return hybrid.english_matches(hybrid.english_index(chunks, ["esnt", "tion"]), 'tioned -esnting or "esnt tiones"', chunks).select("id")
+
+
+@query(_hybrid(ENGLISH, "false", "0.0::DOUBLE").replace("t AS (SELECT id, 0.0::DOUBLE AS text_score FROM (SELECT id, " + _TOKENS + " AS tk FROM chunks WHERE true) WHERE false", f"{_PLACES}, {_COVERS}, t AS (SELECT id, text_score FROM ranked"))
 def hybrid_english(spark, sf_dir):
     """The fused ranking with stems and cover density."""
-    return _shown(hybrid.hybrid_search(chunks_of(spark, sf_dir), hybrid.Query(asked_vector(spark, sf_dir), '"the that" or with -from', 10)))
+    return _shown(hybrid.hybrid_search(chunks_of(spark, sf_dir), hybrid.Query(asked_vector(spark, sf_dir), ENGLISH, 10)))
+
+
+@query(
+    """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 50 = 0),
+    s AS (SELECT query_id, vec_id AS id, greatest(0, list_cosine_similarity(CAST(embedding AS DOUBLE[]), qv)) AS vs FROM embeddings, q)
+    SELECT query_id, id, round(vs, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(vs, 9) DESC, id) AS n FROM s) WHERE n <= 10"""
+)
+def vector_search_batch(spark, sf_dir):
+    """V2, L1 for many questions: the ten nearest of every vector whose id is divisible by 50, against all rows."""
+    vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+    asked = vectors.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    return hybrid.vector_search(vectors, asked, 10).select("query_id", "id", F.round("vector_similarity", 6).alias("similarity"))
 
 
 @query(
@@ -400,14 +446,15 @@ def incremental_ingest(spark, sf_dir):
 @query(
     """WITH i AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), n AS (SELECT count(*) AS d FROM documents),
     a AS (SELECT count(*) AS k FROM (SELECT DISTINCT doc_id FROM documents) WHERE doc_id NOT IN (SELECT doc_id FROM i))
-    SELECT d AS documents, k AS added, d - k AS skipped FROM n, a"""
+    SELECT d AS documents, k AS added, d - k AS skipped, true AS chunks FROM n, a"""
 )
 def ingest_counters(spark, sf_dir):
     """A1."""
     found = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"))
     marks = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("source"), F.when(F.col("quality") == 1, "indexed").otherwise("failed").alias("status"))
     fresh = ingest.new_documents(found, ingest.indexed_sources(marks), "source")
-    return ingest.ingest_counters(found, fresh, fresh).select("documents", "added", "skipped")
+    chunks = chunking.chunk_documents(_documents(spark, sf_dir).join(fresh.select(F.concat(F.lit("doc"), "source", F.lit(".txt")).alias("source")), "source", "left_semi"))
+    return ingest.ingest_counters(found, fresh, chunks).withColumn("chunks", F.col("chunks") >= F.col("added")).drop("chunks_added")
 
 
 @query(

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -34,12 +34,32 @@ def scan_files(spark: SparkSession, path: str, recursive: bool = False, extensio
     return named.join(first, ["name", "path"], "left_semi").select("path", "name", "kind", "length", "content")
 
 
-def valid_upload(name, length, indexed=None, limit: int = MAX_UPLOAD, extensions: tuple[str, ...] = EXTENSIONS):
+def listed(files: DataFrame) -> DataFrame:
+    """Names and sizes of scanned files by name; contents are not read."""
+    return files.select("name", "kind", "length").orderBy("name")
+
+
+def storage_path(kind: str, local: str = "", bucket: str = "", prefix: str = "", scheme: str = "s3a") -> str:
+    """Where documents are kept: a local folder or a prefix in an object store."""
+    if kind == "local" and local:
+        return local
+    if kind in ("r2", "s3") and bucket:
+        return f"{scheme}://{object_key(bucket, prefix.strip('/'))}".rstrip("/")
+    raise ValueError(f"no storage of kind {kind!r} is set up")
+
+
+def valid_upload(name: Column, length: Column, limit: int = MAX_UPLOAD, extensions: tuple[str, ...] = EXTENSIONS) -> Column:
     """Whether an upload is taken: a usable name of an allowed kind, some bytes, not too many."""
     kind = F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1))
     return T.safe_filename(name).isNotNull() & kind.isin(*extensions) & (length > 0) & (length <= limit)
 
 
+def accepted_uploads(uploads: DataFrame, indexed: DataFrame, replace: bool = False) -> DataFrame:
+    """Uploads (name, length, ...) that are taken, with safe_name; one whose name is indexed (source) already only with replace."""
+    taken = uploads.where(valid_upload(F.col("name"), F.col("length"))).withColumn("safe_name", T.safe_filename(F.col("name")))
+    return taken if replace else taken.join(indexed.select(F.col("source").alias("safe_name")), "safe_name", "left_anti").select(taken.columns)
+
+
 def object_key(prefix: str, name: str) -> str:
     """Where a file is kept under a prefix."""
     return f"{prefix.strip('/')}/{name}" if prefix.strip("/") else name

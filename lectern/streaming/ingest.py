@@ -23,7 +23,7 @@ def start_ingest(spark: SparkSession, path: str, chunks_path: str, checkpoint: s
 
     def write(batch: DataFrame, _: int) -> None:
         chunks = chunk_documents(documents(parse_files(batch)))
-        replace_chunks(chunk_rows(chunks, embed or hashed_embedding()), chunks_path)
+        replace_chunks(chunk_rows(chunks, embed or hashed_embedding()), chunks_path, batch.select(F.col("name").alias("source")))
 
     return file_stream(spark, path).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -111,8 +111,8 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
     A conversation is its blocks in order of (task, seq). loss_bytes holds start, end, start, end ... of the
     loss role's texts within the block's bytes. Turns go by turn number, nulls first; equal ones by role, then
-    text. Null roles and texts are empty, a null conversation is one of its own, repeated rows are turns each; an
-    empty table gives no rows; other columns are not read.
+    text. Null roles and texts are empty, a null conversation is one of its own, repeated rows are turns each; a very long text is one
+    block of its own; an empty table gives no rows; other columns, whatever their names, are not read.
     """
     own = turns.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
@@ -172,7 +172,12 @@ def _digest(schema: pa.Schema):
 
 
 def chat_digests(blocks: DataFrame) -> DataFrame:
-    """One row per conversation, read back from its formatted blocks: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """One row per conversation, read back from its formatted blocks: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    A digest over a whole conversation is sequential: its blocks, in order, go through one task with one of them in memory, however long it is.
+    Blocks are taken as format_chats gives them, ties as it ordered them; a null conversation has a row of its own; repeated blocks would
+    count twice; an empty table gives no rows; other columns are not read.
+    """
     out = blocks.select("conv_id").schema
     for name, kind in (("n_turns", "long"), ("turns_sha256", "string"), ("loss_chars", "long"), ("loss_sha256", "string"), ("formatted_chars", "long")):
         out = out.add(name, DataType.fromDDL(kind))

@@ -5,6 +5,9 @@ The anchors of a half are the words of the perfect Hamming code over its lower 3
 the covering radius one of an anchor (its home), so two halves at distance one or less share the first one's
 home when each is sent to every anchor within radius plus threshold, two. Fingerprints are compared with
 all others at the same anchor; anchors with many fingerprints are compared block by block in separate tasks.
+
+near_duplicates serves where near copies are told by the Jaccard index of word runs. At an index of 0.8 fingerprints differ in about nine
+bits, beyond what anchors can cover, so it finds candidates by bands of least hashes instead.
 """
 
 from __future__ import annotations
@@ -172,8 +175,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id.
 
     component_id is the smallest doc_id that links of fingerprints within distance bits reach. Null and empty
-    texts have fingerprint zero and link like any other; repeated rows share a component; an empty table gives
-    no rows; other columns of docs are not read.
+    texts have fingerprint zero and link like any other; very long texts are hashed whole, a step of shingles at a time; a bit that half of the
+    hashes have is 0; repeated rows share a component; an empty table gives no rows; other columns of docs, whatever their names, are
+    not read.
     """
     prints = write_once(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
     distinct = write_once(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")

@@ -161,8 +161,9 @@ def token_counts(docs: DataFrame, spec: str, pattern: str, id_col: str = "doc_id
     """One row per row of docs: doc_id, n_bytes, n_tokens, over_limit.
 
     spec is the JSON of a byte-level BPE tokenizer (its size is that of a vocabulary), pattern splits text
-    before the merges. Added tokens inside a text count as one token each. Null and empty texts have no tokens;
-    rows that repeat are counted each; an empty table gives no rows; other columns of docs are not read.
+    before the merges. Added tokens inside a text count as one token each. Null and empty texts have no tokens; very long texts are
+    counted whole, and of equal ranks in a symbol sequence all are merged from the left; rows that repeat are counted each; an
+    empty table gives no rows; other columns of docs, whatever their names, are not read.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = own.select("doc_id", F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_tokens")).schema

@@ -1,0 +1,42 @@
+"""Tables that an operator writes once and reads again, in the folder all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder (spark.checkpoint.dir). Where none is set a local session gets one of its own; on a cluster that raises."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="lectern-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder, removed when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/lectern/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+def write_once(df: DataFrame, name: str) -> DataFrame:
+    """Write df to a table in the shared folder and read it back; cuts lineage and survives lost executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Delete a table of write_once that nothing will read again."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -73,10 +73,10 @@ class Filter:
 _CHUNK = 32768
 
 
-def filter_of(grams: DataFrame, most_bits: int) -> Filter:
-    """A filter of the column gram, 16 bits for each value but 2^most_bits at most; what reaches the driver is that map."""
+def filter_of(grams: DataFrame, most_bits: int, each: int = 256) -> Filter:
+    """A filter of the column gram, each bits for each value but 2^most_bits at most; what reaches the driver is that map."""
     count = grams.agg(F.approx_count_distinct("gram")).first()[0]
-    bits = min(most_bits, max(15, math.ceil(math.log2(16 * count + 1))))
+    bits = min(most_bits, max(15, math.ceil(math.log2(each * count + 1))))
     place = F.shiftrightunsigned("gram", 64 - bits) + 1
     chunks = grams.groupBy((F.bitmap_bucket_number(place) - 1).alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("flags"))
     return Filter(bits, [(r["chunk"], bytes(r["flags"])) for r in chunks.collect()])

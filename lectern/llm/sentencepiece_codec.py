@@ -8,8 +8,10 @@ end at a boundary, and ids are equal to what the merges give.
 The pieces that may end at a boundary come from an automaton over all pieces (Aho and Corasick, 1975), one step a character. Its state
 is the longest run of characters that a piece to come may have begun with, so paths go on from that many
 boundaries only, the model's longest piece at most. Whenever the backpointer paths of all of them run through one boundary,
-the ids before it are committed and forgotten. Between two characters that no piece holds next to each other they always do; the
-parts of words between such places are remembered with their ids, as are words where no piece goes on past a space mark.
+the ids before it are committed and forgotten.
+
+Where no piece goes on past a space mark, the words of a step's texts are searched side by side, a character of each at a
+time over numpy arrays, with a window of boundaries for each word; words that were met before are remembered.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ import re
 from collections import Counter, deque
 from collections.abc import Iterator
 from functools import lru_cache
-from operator import add
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark import Broadcast
@@ -81,7 +84,6 @@ class Codec:
         self.order = {p: -self.score[i] for p, i in self.id.items()}
         seen = Counter(self.order[p] for p in self.id if len(p) > 1)
         self.tied = {p for p in self.id if len(p) > 1 and seen[self.order[p]] > 1}
-        self.joints = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
         self._automaton()
         self.plain = [self.pieces[i].replace(SPACE, " ") for i in range(size)]
         for i, b in self.byte_of.items():
@@ -91,7 +93,8 @@ class Codec:
         self.plain[self.unknown] = " ⁇ "
         self.high = {i for i, b in self.byte_of.items() if b >= 0x80}
         self.split: dict[str, tuple[str, str] | None] = {}
-        self.fits, self.memo, self.parts = Recent(memo), Recent(memo), Recent(memo)
+        self.fits, self.memo = Recent(memo), Recent(memo)
+        self.side_by_side = SideBySide(self) if self.bpe else None
 
     def _automaton(self) -> None:
         """By state: the next states, the state of the longest proper suffix, how many characters it stands for, and the pieces that end it."""
@@ -221,7 +224,7 @@ class Codec:
             back.append(size)
             live = depth[state]
             if live < 2 or len(last) > most:
-                keep = end if not live else end - 1 if size == 1 else self._meeting(back, end - live, end, base)
+                keep = end if not live else end - 1 if live == 1 and size == 1 else self._meeting(back, end - live, end, base)
                 if keep > base:
                     ids += self._back(text, last, back, keep, base)
                     keep, base = keep - base, keep
@@ -253,13 +256,15 @@ class Codec:
             piece, size = last[at] >> 20, back[at]
             if piece != _FREE:
                 out.append(piece)
-            elif self.byte:
-                out += [self.byte[b] for b in reversed(text[base + at - size : base + at].encode())]
             else:
-                out.append(self.unknown)
+                out += self.unknown_ids(text[base + at - 1])[::-1]
             at -= size
         return out[::-1]
 
+    def unknown_ids(self, ch: str) -> list[int]:
+        """Ids of a character of no piece: its bytes, where the model has them."""
+        return [self.byte[b] for b in ch.encode()] if self.byte else [self.unknown]
+
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
@@ -272,28 +277,31 @@ class Codec:
             if found is None:
                 found = memo.older(word)
             if found is None:
-                found = self._word(word)
+                found = self.search(word)
                 if len(word) <= MEMO_CHARS:
                     memo.keep(word, found)
             ids += found
         return ids
 
-    def _word(self, word: str) -> list[int]:
-        """Ids of a word: between two characters that no piece holds next to each other all paths meet, and ids are committed."""
-        joints, memo, ids, start = self.joints, self.parts, [], 0
-        for k, pair in enumerate(map(add, word, word[1:]), 1):
-            if pair not in joints:
-                ids += memo.get(word[start:k]) or self._part(word[start:k])
-                start = k
-        return ids + self._part(word[start:])
-
-    def _part(self, part: str) -> list[int]:
-        found = self.parts.get(part) or self.parts.older(part)
-        if found is None:
-            found = self.search(part)
-            if len(part) <= MEMO_CHARS:
-                self.parts.keep(part, found)
-        return found
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text; words that are not remembered are searched together."""
+        if not (self.splits and self.bpe and self.identity):
+            return [self.encode(x) for x in texts]
+        split = [_WORDS.findall(SPACE + x.replace(" ", SPACE)) if x else [] for x in texts]
+        memo, known, new = self.memo, {}, []
+        for word in set(chain.from_iterable(split)):
+            found = memo.get(word)
+            if found is None:
+                found = memo.older(word)
+            if found is None:
+                new.append(word)
+            else:
+                known[word] = found
+        for word, found in zip(new, self.side_by_side.search(new)):
+            known[word] = found
+            if len(word) <= MEMO_CHARS:
+                memo.keep(word, found)
+        return [list(chain.from_iterable(map(known.__getitem__, words))) for words in split]
 
     def decode(self, ids: list[int]) -> str:
         """Pieces joined, runs of byte ids as UTF-8, space marks as spaces; the one the encoder put first goes."""
@@ -315,6 +323,142 @@ class Codec:
         return "".join(out).replace(SPACE, " ").removeprefix(" ")
 
 
+class Numbers:
+    """A hash table from 64-bit numbers to small ones, looked up by arrays; emptied when half full."""
+
+    def __init__(self, bits: int):
+        self.bits, self.count = bits, 0
+        self.keys, self.values = np.full(1 << bits, _NONE), np.zeros(1 << bits, np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, -1 for one that is not there."""
+        slots, mask = self._slots(keys), (1 << self.bits) - 1
+        there = self.keys[slots]
+        out = np.where(there == keys, self.values[slots], -1)
+        todo = np.flatnonzero((there != keys) & (there != _NONE))
+        while len(todo):
+            slots[todo] = (slots[todo] + 1) & mask
+            there = self.keys[slots[todo]]
+            out[todo] = np.where(there == keys[todo], self.values[slots[todo]], -1)
+            todo = todo[(there != keys[todo]) & (there != _NONE)]
+        return out
+
+    def add(self, keys: np.ndarray, values: list[int]) -> None:
+        """Put in keys that are not there yet."""
+        if self.count + len(keys) > 1 << (self.bits - 1):
+            self.keys.fill(_NONE)
+            self.count = 0
+        mask = (1 << self.bits) - 1
+        for key, slot, value in zip(keys.tolist(), self._slots(keys).tolist(), values):
+            while self.keys[slot] != _NONE:
+                slot = (slot + 1) & mask
+            self.keys[slot], self.values[slot] = key, value
+            self.count += 1
+
+
+_NONE = np.int64(-(1 << 62))
+
+
+class SideBySide:
+    """The search of a BPE codec over many texts at once, a lane each: every array step moves all lanes by one character.
+
+    A lane's window is a ring of boundaries from the last one committed. A lane whose paths have not met within the
+    ring is searched alone.
+    """
+
+    def __init__(self, codec: Codec, lanes: int = 1 << 14):
+        self.codec, self.lanes = codec, lanes
+        self.rows = 1 << (2 * codec.longest).bit_length()
+        self.moves, self.fits = Numbers(21), Numbers(21)
+        self.early = 0  # commits before a text's end
+        counts = np.array([len(x) for x in codec.ends])
+        self.first = np.cumsum(counts) - counts
+        self.many = counts
+        self.size, self.piece = (np.array([x[k] for ends in codec.ends for x in ends], np.int64) for k in (0, 1))
+        self.depth = np.array(codec.depth)
+
+    def search(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text; longer texts first, so that the lanes still running stand together."""
+        order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
+        out: list[list[int]] = [[]] * len(texts)
+        for at in range(0, len(order), self.lanes):
+            part = order[at : at + self.lanes]
+            for k, found in zip(part, self._lanes([texts[k] for k in part])):
+                out[k] = found
+        return out
+
+    def _looked_up(self, table: Numbers, keys: np.ndarray, make) -> np.ndarray:
+        found = table.find(keys)
+        lost = np.flatnonzero(found < 0)
+        if len(lost):
+            new, back = np.unique(keys[lost], return_inverse=True)
+            values = [int(make(key)) for key in new.tolist()]
+            table.add(new, values)
+            found[lost] = np.array(values, np.int32)[back]
+        return found
+
+    def _move(self, key: int) -> int:
+        state, ch = key >> 21, chr(key & 0x1FFFFF)
+        after = self.codec.moves[state].get(ch)
+        return self.codec._move(state, ch) if after is None else after
+
+    def _lanes(self, texts: list[str]) -> list[list[int]]:
+        codec, n, ring = self.codec, len(texts), self.rows
+        length = np.array([len(x) for x in texts])
+        chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        start = np.cumsum(length) - length
+        running = np.searchsorted(-length, -np.arange(1, length[0] + 2), "right") if n else np.zeros(1, np.int64)  # lanes that have a character at each place
+        last, back = np.full((ring, n), _FREE << 20, np.int64), np.ones((ring, n), np.int64)
+        state, base, alone = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+        told: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def commit(lanes: np.ndarray, keep: np.ndarray) -> None:
+            """Ids on the paths from keep back to the boundary committed before."""
+            at, low = keep.copy(), base[lanes]
+            base[lanes] = keep
+            while len(lanes):
+                pieces = last[at % ring, lanes] >> 20
+                told.append((lanes, at, pieces))
+                at = at - back[at % ring, lanes]
+                more = at > low
+                lanes, at, low = lanes[more], at[more], low[more]
+
+        for end in range(1, int(length[0]) + 1 if n else 0):
+            m = int(running[end - 1])
+            state[:m] = self._looked_up(self.moves, state[:m] << 21 | chars[start[:m] + end - 1], self._move)
+            now = state[:m]
+            size, piece = np.ones(m, np.int64), np.full(m, _FREE, np.int64)
+            todo, turn = np.flatnonzero(self.many[now] > 0), 0
+            while len(todo):
+                at = self.first[now[todo]] + turn
+                sizes, pieces = self.size[at], self.piece[at]
+                fit = self._looked_up(self.fits, last[(end - sizes) % ring, todo] | pieces, lambda key: codec._step(key >> 20, key & 0xFFFFF)) > 0
+                size[todo[fit]], piece[todo[fit]] = sizes[fit], pieces[fit]
+                turn += 1
+                todo = todo[~fit]
+                todo = todo[self.many[now[todo]] > turn]
+            last[end % ring, :m], back[end % ring, :m] = piece << 20, size
+            live, done = self.depth[now], length[:m] == end
+            keep = np.where(done | (live == 0), end, np.where((live == 1) & (size == 1), end - 1, 0))
+            met = np.flatnonzero((keep > base[:m]) & ~alone[:m])
+            commit(met, keep[met])
+            self.early += int((~done[met]).sum())
+            alone[:m] |= ~done & (end - base[:m] >= ring - codec.longest)
+        lane, place, piece = (np.concatenate([x[k] for x in told]) if told else np.zeros(0, np.int64) for k in range(3))
+        order = np.lexsort((place, lane))
+        ids, cuts = piece[order].tolist(), np.cumsum(np.bincount(lane, minlength=n)).tolist()
+        found = [ids[a:b] for a, b in zip([0, *cuts], cuts)]
+        for k in np.unique(lane[piece == _FREE]).tolist():  # characters of no piece
+            ends = place[order[cuts[k] - len(found[k]) : cuts[k]]].tolist()
+            found[k] = [i for at, x in zip(ends, found[k]) for i in ((x,) if x != _FREE else codec.unknown_ids(texts[k][at - 1]))]
+        for k in np.flatnonzero(alone).tolist():
+            found[k] = codec.search(texts[k])
+        return found
+
+
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -329,9 +473,9 @@ def _encode(model: Broadcast, memo: int, schema: pa.Schema):
         codec = _codec(model.value, memo)
         kept = [c for c in schema.names if c not in ("n_tokens", "ids", "round_trip", "decoded")]
         for batch in batches:
-            for step in steps(batch, _INPUT):
+            for step in steps(batch, _INPUT, 4 << 20):
                 texts = [x or "" for x in step.column(_INPUT).to_pylist()]
-                ids = [codec.encode(x) for x in texts]
+                ids = codec.encode_all(texts)
                 back = list(map(codec.decode, ids))
                 same = [b == x.replace(SPACE, " ") for b, x in zip(back, texts)]
                 more = {"decoded": back} if "decoded" in schema.names else {}

@@ -77,16 +77,35 @@ def windows(codec, texts, encode):
 @pytest.mark.parametrize("text", ["theinandoftoreth" * 2000, "a" * 9000, "internationalization" * 500, "zxq" * 3000])
 def test_window_stays_small(codec, library, text):
     seen = windows(codec, [text], codec.search)
-    assert max(n for n, _ in seen) <= 4 * codec.longest + 2
+    assert max((n for n, _ in seen), default=0) <= 4 * codec.longest + 2
     assert codec.search("▁" + text) == library.encode(text)
 
 
-def test_commits_inside_documents(spark, sf_dir):
+def test_commits_inside_documents(spark, sf_dir, library):
+    """On real texts ids are committed before the end of their word, in windows of bounded size."""
     with open(PIECES, "rb") as f:
         codec = Codec(f.read())
-    texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()]
-    seen = windows(codec, texts, codec.encode)
-    assert sum(k for _, k in seen) > 1000  # boundaries committed before a word's end
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    assert codec.encode_all(texts) == library.encode(texts)
+    assert codec.side_by_side.early > 10_000 and codec.side_by_side.rows <= 4 * codec.longest
+    seen = windows(codec, texts[:20], codec.encode)
+    assert max((n for n, _ in seen), default=0) <= 4 * codec.longest + 2
+
+
+@settings(max_examples=60, deadline=None)
+@given(texts=st.lists(ALPHABET, max_size=12))
+def test_side_by_side_as_alone(codec, library, texts):
+    assert codec.encode_all(texts) == [codec.encode(x) for x in texts] == library.encode(texts)
+
+
+def test_odd_texts_side_by_side(codec, library):
+    assert codec.encode_all(TEXTS) == library.encode(TEXTS)
+    table = type(codec.side_by_side.fits)(4)
+    keys = __import__("numpy").arange(-3, 40, dtype="int64") * 1_000_003
+    for k in range(0, len(keys), 3):
+        table.add(keys[k : k + 3], list(range(k, k + 3)))
+        assert table.find(keys[k : k + 3]).tolist() == list(range(k, k + len(keys[k : k + 3])))
+    assert table.count <= 8
 
 
 def test_kept_names(spark, odd_docs):

@@ -287,6 +287,37 @@ def test_repeats_brute_force(spark, sf_dir):
     assert {(r.doc_id, r.end_word - r.start_word) for r in planted if r.match_doc_id == 1000} == {(1000 + k, 51) for k in range(1, 5)}
 
 
+def test_recall_of_near_repeats(spark):
+    """Passages with words replaced, added and cut, near the threshold: nine in ten are found at least, and nothing else is."""
+    rng = random.Random(21)
+    fresh = lambda n: [f"{rng.randrange(10**7)}r" for _ in range(n)]
+    texts, planted = {}, set()
+    for k in range(120):
+        passage = fresh(rng.randint(60, 160))
+        copy = list(passage)
+        for _ in range(max(1, len(passage) // 60)):
+            at = rng.randrange(5, len(copy) - 5)
+            copy[at : at + 1] = [[], ["edit"], [copy[at], "more"]][k % 3]
+        grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (passage, copy)]
+        if len(grams[0] & grams[1]) >= 0.8 * len(grams[0] | grams[1]):
+            planted.add(2 * k)
+        texts[2 * k], texts[2 * k + 1] = fresh(rng.randint(0, 90)) + passage + fresh(20), fresh(rng.randint(0, 90)) + copy + fresh(30)
+    rows = sub.repeated_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")).collect()
+    found = {min(r.doc_id, r.match_doc_id) for r in rows}
+    assert all(abs(r.doc_id - r.match_doc_id) == 1 and r.similarity >= 0.8 for r in rows)
+    assert len(planted) > 60 and len(found & planted) >= 0.9 * len(planted)
+
+
+def test_common_signatures_are_joined_in_place(spark):
+    rng = random.Random(22)
+    line = [f"{rng.randrange(10**7)}c" for _ in range(70)]
+    texts = [(k, " ".join([f"{rng.randrange(10**7)}o" for _ in range(rng.randint(0, 40))] + line)) for k in range(90)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    for one_in, most_bits in ((3, 29), (10**9, 29), (10**9, 3)):
+        rows = sub.repeated_passages(frame, one_in=one_in, most_bits=most_bits).collect()
+        assert {r.doc_id for r in rows if r.match_doc_id == 0 and r.end_word - r.start_word == 70} == set(range(1, 90))
+
+
 def test_repeats_odd_rows(spark, odd_docs):
     rows = sub.repeated_passages(odd_docs).collect()
     assert {r.doc_id for r in rows} | {r.match_doc_id for r in rows} == {6, 7}

@@ -72,10 +72,12 @@ def job_transition(job: DataFrame, status: str, now: Column, result: Column | No
     """The next row of a job's log: running sets started_at, an end sets finished_at."""
     if status not in JOB_STATES:
         raise ValueError(f"no job state {status}")
-    out = job.withColumns({"status": F.lit(status), "updated_at": now, "result": F.lit(None) if result is None else result, "error": F.lit(None).cast("string") if error is None else error})
+    changed = {"status": F.lit(status), "updated_at": now, "result": F.lit(None) if result is None else result, "error": F.lit(None).cast("string") if error is None else error}
     if status == "running":
-        out = out.withColumn("started_at", now)
-    return out.withColumn("finished_at", now) if status in ("succeeded", "failed") else out
+        changed["started_at"] = now
+    if status in ("succeeded", "failed"):
+        changed["finished_at"] = now
+    return job.withColumns(changed)  # all from the row before
 
 
 def valid_password(password: Column) -> Column:

@@ -395,6 +395,7 @@ def safe_filename(spark, sf_dir):
 
 
 def _documents(spark, sf_dir) -> DataFrame:
+    """Every document as a text file of its own; null texts have no page and so no chunk, and are left out."""
     name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt"))
     text = F.col("text")
     return table(spark, sf_dir, "documents").where("text is not null").select(name.alias("source"), F.lit("txt").alias("kind"), "text").select("source", "kind", T.infer_title(F.col("source"), _pages()).alias("title"), _pages().alias("pages"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.vectors import norm
 from lectern.operators import chunking, conversation, ingest, records
 from lectern.plans import manuals
 from lectern.sources import files
@@ -152,11 +154,31 @@ def audit_rows(spark, sf_dir):
     return records.audit_rows(actions, users, F.lit(NOW).cast("timestamp")).select("id", "actor_email", "actor_role", "action", "resource_id")
 
 
+def chunk_rows(spark, sf_dir):
+    """Chunk rows with ids and vectors of length one."""
+    rows = ingest.chunk_rows(chunking.chunk_documents(manuals.manuals(spark, sf_dir), manuals.MOST, 0), ingest.hashed_embedding(8), 8)
+    return rows.select("id", "document_id", "chunk_index", F.size("embedding").alias("dimensions"), F.round(norm(F.col("embedding")), 6).alias("length"))
+
+
+def job_transitions(spark, sf_dir):
+    """K4: jobs that go from queued to running and to an end."""
+    jobs = _table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.lit("queued").alias("status"), F.col("ts").alias("updated_at"), F.lit(None).cast("timestamp").alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"))
+    running = records.job_transition(jobs, "running", F.expr("updated_at + INTERVAL 1 MINUTE"))
+    done = records.job_transition(running.where("id % 3 = 0"), "succeeded", F.expr("updated_at + INTERVAL 1 HOUR"), result=F.lit("ok"))
+    failed = records.job_transition(running.where("id % 3 = 1"), "failed", F.expr("updated_at + INTERVAL 2 HOURS"), error=F.lit("lost"))
+    log = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), (running.withColumn("result", F.lit(None).cast("string")), done, failed))
+    last = records.current_state(log.select("id", "status", "updated_at", "started_at", "finished_at", "result", "error"))
+    return last.select("id", "status", (F.col("updated_at") - F.col("started_at")).cast("long").alias("took"), F.col("finished_at").isNotNull().alias("ended"), "result", "error")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (scanned_texts, parsed_word_files, accepted_uploads, replaced_chunks, document_status, new_sessions, touched_sessions, deleted_messages, point_read, log_lines, preview_summary, public_users, rotated_tokens, audit_rows)
+    for f in (chunk_rows, job_transitions, scanned_texts, parsed_word_files, accepted_uploads, replaced_chunks, document_status, new_sessions, touched_sessions, deleted_messages, point_read, log_lines, preview_summary, public_users, rotated_tokens, audit_rows)
 }
 ORACLES = {
+    "chunk_rows": "WITH RECURSIVE" + manuals._CHUNKS_SQL + " SELECT sha256(source || ':' || chunk) AS id, sha256(source) AS document_id, chunk AS chunk_index, 8 AS dimensions, 1.0::DOUBLE AS length FROM chunks",
+    "job_transitions": """SELECT event_id AS id, ['succeeded', 'failed', 'running'][event_id % 3 + 1] AS status, [3600, 7200, 0][event_id % 3 + 1] AS took, event_id % 3 < 2 AS ended,
+        CASE event_id % 3 WHEN 0 THEN 'ok' END AS result, CASE event_id % 3 WHEN 1 THEN 'lost' END AS error FROM events""",
     "scanned_texts": "SELECT 'txt' AS kind, n_name || ' lies in region ' || n_regionkey AS title, CAST(NULL AS INT) AS page_count, n_name || ' lies in region ' || n_regionkey || chr(10) || chr(10) || 'number ' || n_nationkey AS text, 1 AS pages FROM nation",
     "parsed_word_files": "SELECT 's' || s_suppkey || '.docx' AS source, 'Supplier list ' || s_suppkey AS title, CAST(NULL AS INT) AS page_count, 'Supplier list ' || s_suppkey || chr(10) || chr(10) || 'Name | Nation' || chr(10) || s_name || ' | ' || s_nationkey AS text, 'Name;Nation' AS headers, s_name || ';' || s_nationkey AS rows FROM supplier",
     "accepted_uploads": """SELECT doc_id, s AS safe_name FROM (SELECT doc_id, n_chars * 20000 AS length, 'up_' || (doc_id % 700) || CASE doc_id % 3 WHEN 0 THEN '.PDF' WHEN 1 THEN '.txt' ELSE '.exe' END AS s FROM documents)

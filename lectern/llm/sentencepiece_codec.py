@@ -324,10 +324,10 @@ class Codec:
 
 
 class Numbers:
-    """A hash table from 64-bit numbers to small ones, looked up by arrays; emptied when half full."""
+    """A hash table from 64-bit numbers to small ones, looked up by arrays; it grows up to 2^most slots and is emptied when these are half full."""
 
-    def __init__(self, bits: int):
-        self.bits, self.count = bits, 0
+    def __init__(self, bits: int, most: int):
+        self.bits, self.most, self.count = bits, most, 0
         self.keys, self.values = np.full(1 << bits, _NONE), np.zeros(1 << bits, np.int32)
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
@@ -349,8 +349,11 @@ class Numbers:
     def add(self, keys: np.ndarray, values: list[int]) -> None:
         """Put in keys that are not there yet."""
         if self.count + len(keys) > 1 << (self.bits - 1):
-            self.keys.fill(_NONE)
-            self.count = 0
+            held, wide = self.keys != _NONE, max(self.bits, (2 * (self.count + len(keys)) - 1).bit_length())
+            old = (self.keys[held], self.values[held].tolist()) if wide <= self.most else (keys[:0], [])
+            self.__init__(min(wide, self.most), self.most)
+            if len(old[0]):
+                self.add(*old)
         mask = (1 << self.bits) - 1
         for key, slot, value in zip(keys.tolist(), self._slots(keys).tolist(), values):
             while self.keys[slot] != _NONE:
@@ -369,10 +372,12 @@ class SideBySide:
     ring is searched alone.
     """
 
-    def __init__(self, codec: Codec, lanes: int = 1 << 14):
+    def __init__(self, codec: Codec, lanes: int = 1 << 12):
         self.codec, self.lanes = codec, lanes
         self.rows = 1 << (2 * codec.longest).bit_length()
-        self.moves, self.fits = Numbers(21), Numbers(21)
+        self.moves, self.fits = Numbers(14, 20), Numbers(14, 20)
+        # By boundary, modulo rows: the last piece there, and its length
+        self.last, self.back = np.zeros((self.rows, lanes), np.int64), np.zeros((self.rows, lanes), np.int64)
         self.early = 0  # commits before a text's end
         counts = np.array([len(x) for x in codec.ends])
         self.first = np.cumsum(counts) - counts
@@ -411,7 +416,8 @@ class SideBySide:
         chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         start = np.cumsum(length) - length
         running = np.searchsorted(-length, -np.arange(1, length[0] + 2), "right") if n else np.zeros(1, np.int64)  # lanes that have a character at each place
-        last, back = np.full((ring, n), _FREE << 20, np.int64), np.ones((ring, n), np.int64)
+        last, back = self.last[:, :n], self.back[:, :n]
+        last[0] = _FREE << 20
         state, base, alone = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
         told: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 

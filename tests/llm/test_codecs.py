@@ -100,7 +100,7 @@ def test_side_by_side_as_alone(codec, library, texts):
 
 def test_odd_texts_side_by_side(codec, library):
     assert codec.encode_all(TEXTS) == library.encode(TEXTS)
-    table = type(codec.side_by_side.fits)(4)
+    table = type(codec.side_by_side.fits)(2, 4)
     keys = __import__("numpy").arange(-3, 40, dtype="int64") * 1_000_003
     for k in range(0, len(keys), 3):
         table.add(keys[k : k + 3], list(range(k, k + 3)))

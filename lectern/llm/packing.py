@@ -17,10 +17,10 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +37,8 @@ HANDED = 0.1
 LOOSE = 1 / 16
 #: A round that saves less than this share of the sequences it opened is the last.
 SAVING = 1 / 1024
-#: Words whose ids a task remembers, and how long they may be.
-MEMO, MEMO_CHARS = 1 << 18, 64
+#: Words of a generation whose ids a task remembers, how long they may be, and new words that are tokenized together.
+MEMO, MEMO_CHARS, TOGETHER = 1 << 18, 64, 1 << 14
 
 #: A space before a sign, letter or digit begins a pre-token of a byte-level vocabulary, whatever stands before it.
 _WORD_SPACE = re.compile(r" (?=[\w!-/:-@\[-`{-~])")
@@ -46,41 +46,87 @@ _OTHER_SPACE = re.compile(r" (?![\w!-/:-@\[-`{-~])")
 
 
 class WordIds:
-    """A tokenizer that asks the library once for each word and keeps its answer as bytes."""
+    """A tokenizer that asks the library once for each distinct word and lays the ids of texts end to end by numpy.
+
+    Words are remembered in two generations: when the younger has MEMO of them it becomes the older, whose words come
+    back as they are met again. New words are tokenized together, as one text; the bytes that each id stands for tell where a word ends.
+    """
 
     def __init__(self, spec: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_str(spec), {}
+        self.tokenizer, self.young, self.old = Tokenizer.from_str(spec), {}, {}
         made = json.loads(spec)
-        split = made.get("pre_tokenizer") or {}
-        spaced = any(" " in x["content"] or x.get("lstrip") or x.get("rstrip") for x in made.get("added_tokens") or [])
+        split, added = made.get("pre_tokenizer") or {}, made.get("added_tokens") or []
+        spaced = any(" " in x["content"] or x.get("lstrip") or x.get("rstrip") for x in added)
         self.by_word = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and made.get("normalizer") is None and not spaced
-
-    def words(self, text: str) -> list[str]:
-        """The text in parts that may be tokenized apart; all but the first come without the space they begin with."""
+        letters = self.tokenizer.get_vocab()  # a letter of a byte-level vocabulary is a byte
+        self.sizes = np.zeros(max(letters.values(), default=0) + 1, np.int64)
+        self.sizes[list(letters.values())] = [len(x) for x in letters]
+        for x in added:
+            self.sizes[x["id"]] = len(x["content"].encode())
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
         if not self.by_word:
-            return [text]
-        return _WORD_SPACE.split(text) if _OTHER_SPACE.search(text) else text.split(" ")
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        parts, memo = [self.words(x) for x in texts], self.memo
-        wanted = set(chain.from_iterable(p[1:] for p in parts))
-        new = [w for w in wanted if w not in memo]
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list(wanted)
-        memo.update(zip(new, self._encode([" " + w for w in new])))
-        out = [first + b"".join(map(memo.__getitem__, p[1:])) for first, p in zip(self._encode([p[0] for p in parts]), parts)]
-        for w in new:
-            if len(w) > MEMO_CHARS:
-                del memo[w]
+            return self._encode(texts)
+        odd = [_OTHER_SPACE.search(x) is not None for x in texts]
+        out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
+        at = [k for k, x in enumerate(odd) if not x]
+        for k, ids in zip(at, self._joined(pc.split_pattern(pa.array([texts[k] for k in at], pa.large_string()), " "))):
+            out[k] = ids
+        at = [k for k, x in enumerate(odd) if x]  # a space before white space does not part words
+        for k, ids in zip(at, self._joined(pa.array([_WORD_SPACE.split(texts[k]) for k in at], pa.large_list(pa.large_string())))):
+            out[k] = ids
         return out
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+    def _joined(self, words: pa.Array) -> list[np.ndarray]:
+        """The ids of each list of words: the first as it is, the others after a space."""
+        if not len(words):
+            return []
+        edges = np.asarray(words.offsets, np.int64)
+        flat = words.flatten()
+        first = edges[:-1] - edges[0]
+        coded = flat.dictionary_encode()
+        firsts = self._encode(flat.take(pa.array(first)).to_pylist())
+        ids, sizes = _end_to_end([*self._known(coded.dictionary.to_pylist()), *(x.tobytes() for x in firsts)])
+        code = np.array(coded.indices, np.int64)
+        code[first] = len(coded.dictionary) + np.arange(len(first))
+        begin, sizes = (np.cumsum(sizes) - sizes)[code], sizes[code]
+        ends = np.cumsum(sizes)
+        laid = ids[np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1])]
+        bounds = np.concatenate([[0], ends])[edges - edges[0]]
+        return [laid[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, each after a space."""
+        known = list(map(self.young.get, words))
+        missing = [w for w, x in zip(words, known) if x is None]
+        found = {w: self.old[w] for w in missing if w in self.old}
+        found.update(self._new([w for w in missing if w not in found]))
+        if len(self.young) + len(found) > MEMO:
+            self.young, self.old = {}, self.young
+        self.young.update((w, x) for w, x in found.items() if len(w) <= MEMO_CHARS)
+        return [found[w] if x is None else x for w, x in zip(words, known)]
+
+    def _new(self, words: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        for at in range(0, len(words), TOGETHER):
+            part = words[at : at + TOGETHER]
+            ids = self._encode([" " + " ".join(part)])[0]
+            ends = np.cumsum([len(w.encode()) + 1 for w in part])
+            edges = [0, *(4 * (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1)).tolist()]
+            raw = ids.tobytes()
+            out.update(zip(part, (raw[a:b] for a, b in zip(edges, edges[1:]))))
+        return out
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+
+def _end_to_end(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
 
 
 @lru_cache(maxsize=1)
@@ -90,7 +136,7 @@ def _word_ids(spec: str) -> WordIds:
 
 
 def _cut(spec: str, capacity: int, end_id: int, schema: pa.Schema):
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _word_ids(spec)
@@ -98,10 +144,10 @@ def _cut(spec: str, capacity: int, end_id: int, schema: pa.Schema):
             for step in steps(batch, "text"):
                 rows = []
                 for doc_id, ids in zip(step.column("doc_id").to_pylist(), known.ids([x or "" for x in step.column("text").to_pylist()])):
-                    ids += end
-                    n = len(ids) // 4
+                    ids = np.concatenate([ids, end])
+                    n = len(ids)
                     edges = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
-                    rows += [(doc_id, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
+                    rows += [(doc_id, k, a, b - a, zlib.crc32(ids[a:b])) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
                 yield arrow(schema, **dict(zip(schema.names, map(list, zip(*rows)))))
 
     return run

@@ -8,15 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folders of local sessions that have none set, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir). Where none is set a local session gets one of its own; on a cluster that raises."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="lectern-")
+    return _LOCAL[context.applicationId]
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

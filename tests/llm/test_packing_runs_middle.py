@@ -278,3 +278,15 @@ def test_op13_equals_its_sql(spark, sf_dir):
     con.execute(f"create view documents as select * from read_parquet('{sf_dir}/documents.parquet')")
     wanted = con.execute(f"select {', '.join(got.columns)} from ({catalogue.ORACLES['op13_fill_in_middle']})").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(wanted)
+
+
+def test_shared_folder_without_a_setting(monkeypatch):
+    """A local session that names no folder gets one; a cluster's raises."""
+    from types import SimpleNamespace
+
+    from lectern.llm import shared
+
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, applicationId="app-1"))
+    assert shared.shared_dir(session("local[2]")) == shared.shared_dir(session("local[2]")) and shared.shared_dir(session("local[2]")).startswith("file:///")
+    with pytest.raises(ValueError):
+        shared.shared_dir(session("spark://host:7077"))

@@ -1,7 +1,7 @@
 """Full-text analysis, web-search queries and cover-density ranks.
 
 Two analyzers: simple (runs of a-z and 0-9 after lower-casing, in the JVM) and english (the same tokens without stop words,
-stemmed). The english one approximates a database's english dictionary with Porter's 1980 stemmer.
+stemmed by the Snowball English rules). The english one follows a database's english dictionary for words and numbers.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import StringType
 
 TOKEN = r"[a-z0-9]+"
 # English stop words.
@@ -35,80 +35,108 @@ def term_count(tokens: Column, term: str) -> Column:
     return F.size(F.filter(tokens, lambda x: x == term))
 
 
-def _shape(word: str) -> str:
-    """c for each consonant, v for each vowel; y is a vowel after a consonant."""
-    out = ""
-    for i, ch in enumerate(word):
-        vowel = ch in "aeiou" or (ch == "y" and i > 0 and out[-1] == "c")
-        out += "v" if vowel else "c"
-    return out
+VOWELS = "aeiouy"
+# The stemmer's irregular words, those that end after plurals are cut, beginnings whose rest is a region, and its suffixes with what takes their place.
+_IRREGULAR = dict(
+    skis="ski", skies="sky", dying="die", lying="lie", tying="tie", idly="idl", gently="gentl", ugly="ugli", early="earli", only="onli", singly="singl",
+    sky="sky", news="news", howe="howe", atlas="atlas", cosmos="cosmos", bias="bias", andes="andes",
+)
+_WHOLE = frozenset("inning outing canning herring earring proceed exceed succeed".split())
+_BEGINNINGS = ("gener", "commun", "arsen")
+_DOUBLES, _BEFORE_LI = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt"), "cdeghkmnrt"
+_STEP2 = dict(
+    tional="tion", enci="ence", anci="ance", abli="able", entli="ent", izer="ize", ization="ize", ational="ate", ation="ate", ator="ate", alism="al", aliti="al", alli="al",
+    fulness="ful", ousli="ous", ousness="ous", iveness="ive", iviti="ive", biliti="ble", bli="ble", ogi="og", fulli="ful", lessli="less", li="",
+)
+_STEP3 = dict(tional="tion", ational="ate", alize="al", icate="ic", iciti="ic", ical="ic", ful="", ness="", ative="")
+_STEP4 = "al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize ion".split()
 
 
-def _measure(stem: str) -> int:
-    return len(re.findall("v+c+", _shape(stem)))
+def _longest(word: str, suffixes) -> str:
+    """The longest of some suffixes that a word has; empty if none."""
+    return max((x for x in suffixes if word.endswith(x)), key=len, default="")
 
 
-def _double(word: str) -> bool:
-    return len(word) > 1 and word[-1] == word[-2] and _shape(word)[-1] == "c"
+def _region(word: str, start: int) -> int:
+    """Where the part after the first consonant that follows a vowel begins, from start on."""
+    for i in range(start + 1, len(word)):
+        if word[i] not in VOWELS and word[i - 1] in VOWELS:
+            return i + 1
+    return len(word)
 
 
-def _short(word: str) -> bool:
-    return _shape(word)[-3:] == "cvc" and word[-1] not in "wxy"
+def _vowel_in(part: str) -> bool:
+    return any(ch in VOWELS for ch in part)
 
 
-# The suffixes of the stemmer's second to fourth steps.
-_STEP2 = dict(
-    ational="ate", tional="tion", enci="ence", anci="ance", izer="ize", abli="able", alli="al", entli="ent", eli="e", ousli="ous", ization="ize",
-    ation="ate", ator="ate", alism="al", iveness="ive", fulness="ful", ousness="ous", aliti="al", iviti="ive", biliti="ble",
-)
-_STEP3 = dict(icate="ic", ative="", alize="al", iciti="ic", ical="ic", ful="", ness="")
-_STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
+def _short_end(part: str) -> bool:
+    """Whether a part ends in a short syllable: consonant, vowel, consonant but w, x and Y; or is a vowel and a consonant."""
+    if len(part) == 2:
+        return part[0] in VOWELS and part[1] not in VOWELS
+    return len(part) > 2 and part[-1] not in VOWELS + "wxY" and part[-2] in VOWELS and part[-3] not in VOWELS
 
 
-def _replace(word: str, table: dict[str, str]) -> str:
-    for suffix in sorted(table, key=len, reverse=True):
-        if word.endswith(suffix):
-            stem = word[: -len(suffix)]
-            return stem + table[suffix] if _measure(stem) > 0 else word
+def _without_plural(word: str) -> str:
+    if word.endswith("sses"):
+        return word[:-2]
+    if word.endswith(("ied", "ies")):
+        return word[:-2] if len(word) > 4 else word[:-1]
+    if word.endswith("s") and not word.endswith(("us", "ss")) and _vowel_in(word[:-2]):
+        return word[:-1]
     return word
 
 
+def _without_tense(word: str, r1: int) -> str:
+    suffix = _longest(word, ("eed", "eedly", "ed", "edly", "ing", "ingly"))
+    rest = word[: len(word) - len(suffix)]
+    if suffix in ("eed", "eedly"):
+        return rest + "ee" if len(rest) >= r1 else word
+    if not suffix or not _vowel_in(rest):
+        return word
+    if rest.endswith(("at", "bl", "iz")):
+        return rest + "e"
+    if rest.endswith(_DOUBLES):
+        return rest[:-1]
+    return rest + "e" if _short_end(rest) and r1 >= len(rest) else rest
+
+
+def _replaced(word: str, table: dict[str, str], r1: int, r2: int) -> str:
+    suffix = _longest(word, table)
+    rest = word[: len(word) - len(suffix)]
+    if not suffix or len(rest) < r1:
+        return word
+    if (suffix == "li" and not rest.endswith(tuple(_BEFORE_LI))) or (suffix == "ogi" and not rest.endswith("l")) or (suffix == "ative" and len(rest) < r2):
+        return word
+    return rest + table[suffix]
+
+
 @lru_cache(maxsize=1 << 18)
 def stem(word: str) -> str:
-    """Porter's stem of a lower-case word."""
+    """The stem of a lower-case English word, by the Snowball rules: suffixes go where they lie in the regions behind the first and second syllable."""
     if len(word) <= 2:
         return word
-    if word.endswith("s"):
-        word = word[:-2] if word.endswith(("sses", "ies")) else word if word.endswith("ss") else word[:-1]
-    if word.endswith("eed"):
-        word = word[:-1] if _measure(word[:-3]) > 0 else word
-    else:
-        for suffix in ("ed", "ing"):
-            if word.endswith(suffix) and "v" in _shape(word[: -len(suffix)]):
-                word = word[: -len(suffix)]
-                if word.endswith(("at", "bl", "iz")):
-                    word += "e"
-                elif _double(word) and word[-1] not in "lsz":
-                    word = word[:-1]
-                elif _measure(word) == 1 and _short(word):
-                    word += "e"
-                break
-    if word.endswith("y") and "v" in _shape(word[:-1]):
+    if word in _IRREGULAR:
+        return _IRREGULAR[word]
+    word = re.sub("^y|[aeiouy]y", lambda m: m[0][:-1] + "Y", word)  # a y that is no vowel
+    r1 = next((len(b) for b in _BEGINNINGS if word.startswith(b)), None)
+    r1 = _region(word, 0) if r1 is None else r1
+    r2 = _region(word, r1)
+    word = _without_plural(word)
+    if word in _WHOLE:
+        return word
+    word = _without_tense(word, r1)
+    if len(word) > 2 and word[-1] in "yY" and word[-2] not in VOWELS:
         word = word[:-1] + "i"
-    word = _replace(_replace(word, _STEP2), _STEP3)
-    for suffix in sorted(_STEP4, key=len, reverse=True):
-        if word.endswith(suffix):
-            rest = word[: -len(suffix)]
-            if _measure(rest) > 1 and (suffix != "ion" or rest.endswith(("s", "t"))):
-                word = rest
-            break
-    if word.endswith("e"):
-        m = _measure(word[:-1])
-        if m > 1 or (m == 1 and not _short(word[:-1])):
-            word = word[:-1]
-    if _measure(word) > 1 and _double(word) and word.endswith("l"):
+    word = _replaced(_replaced(word, _STEP2, r1, r2), _STEP3, r1, r2)
+    suffix = _longest(word, _STEP4)
+    rest = word[: len(word) - len(suffix)]
+    if suffix and len(rest) >= r2 and (suffix != "ion" or rest.endswith(("s", "t"))):
+        word = rest
+    if word.endswith("e") and (len(word) > r2 or (len(word) > r1 and not _short_end(word[:-1]))):
         word = word[:-1]
-    return word
+    elif word.endswith("ll") and len(word) > r2:
+        word = word[:-1]
+    return word.replace("Y", "y")
 
 
 def english_lexemes(text: str) -> list[tuple[str, int]]:
@@ -186,16 +214,61 @@ def lexemes_of(clauses: list[Clause]) -> list[str]:
 
 
 def rank_of_places(clauses: list[Clause]):
-    """A column function: the rank by an array of (lexeme, places), null where it does not match; only the query's lexemes count."""
-
-    @F.pandas_udf(DoubleType())
-    def rank(found: pd.Series) -> pd.Series:
-        return found.map(lambda rows: cover_rank({r["lexeme"]: list(r["places"]) for r in rows}, clauses)).astype("float64")
+    """A column function: cover_rank by an array of (lexeme, places), null where it does not match, all of it in the JVM.
+
+    Minimal covers are found by a fold over the places of a clause's terms in order: it carries the last place of each term, and a cover
+    ends at a place where the least of those has moved on.
+    """
+    none = F.array().cast("array<int>")
+
+    def rank(found: Column | str) -> Column:
+        where = F.map_from_entries(F.col(found) if isinstance(found, str) else found)
+        places = {p: _phrase_places(where, p, none) for c in clauses for p in (*c.must, *c.never)}
+        matched, best = F.lit(False), [F.lit(0.0)]
+        for c in clauses:
+            there = F.lit(True)
+            for p in c.must:
+                there = there & (F.size(places[p]) > 0)
+            free = there
+            for p in c.never:
+                free = free & (F.size(places[p]) == 0)
+            matched = matched | free
+            if c.must:
+                best.append(F.when(there, _covers([places[p] for p in c.must], sum(map(len, c.must)))).otherwise(0.0))
+        top = F.greatest(*best) if len(best) > 1 else best[0]
+        return F.when(matched, top.cast("float").cast("double"))
 
     return rank
 
 
+def _phrase_places(where: Column, phrase: tuple[str, ...], none: Column) -> Column:
+    """Where a phrase begins, in order."""
+    of = lambda lexeme: F.coalesce(F.try_element_at(where, F.lit(lexeme)), none)
+    first = F.array_sort(of(phrase[0]))
+    for k, lexeme in enumerate(phrase[1:], 1):
+        first = F.array_intersect(first, F.transform(of(lexeme), lambda p: p - F.lit(k)))
+    return first
+
+
+def _covers(terms: list[Column], words: int) -> Column:
+    """A tenth over one plus the noise words, summed over the minimal covers of all terms, whose phrases have so many words."""
+    events = F.array_sort(F.concat(*[F.transform(t, lambda p: F.struct(p.alias("place"), F.lit(k).alias("k"))) for k, t in enumerate(terms)]))
+    start = F.struct(*[F.lit(-1).alias(f"last{k}") for k in range(len(terms))], F.lit(-1).alias("begun"), F.lit(0.0).alias("total"))
+
+    def step(s: Column, e: Column) -> Column:
+        last = [F.when(e["k"] == k, e["place"]).otherwise(s[f"last{k}"]) for k in range(len(terms))]
+        begin = F.least(*last) if len(last) > 1 else last[0]
+        ends, noise = begin > s["begun"], e["place"] - begin + (1 - words)
+        gain = F.when(ends, F.lit(0.1) / (F.greatest(noise, F.lit(0)) + 1)).otherwise(0.0)
+        return F.struct(*[x.alias(f"last{k}") for k, x in enumerate(last)], F.when(ends, begin).otherwise(s["begun"]).alias("begun"), (s["total"] + gain).alias("total"))
+
+    return F.aggregate(events, start, step, lambda s: s["total"])
+
+
 @F.pandas_udf(StringType())
-def english_lexeme(tokens: pd.Series) -> pd.Series:
-    """The stem of each token, null for stop words; meant for a vocabulary, a row for each distinct token."""
+def _english_lexeme(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda t: None if t in STOP_WORDS else stem(t))
+
+
+#: The stem of each token, null for stop words; meant for a vocabulary, a row for each distinct token. A filter on it does not run it again.
+english_lexeme = _english_lexeme.asNondeterministic()

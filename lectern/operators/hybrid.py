@@ -7,6 +7,7 @@ are left. Both legs are joined by id to make the candidates; their size is bound
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions.lexical import english_lexeme, lexemes_of, parse_query, rank_of_places, simple_tokens, term_count
 from lectern.functions.vectors import cosine_similarity, literal
-from lectern.operators.requests import check_request
+from lectern.operators.text_index import TextIndex, best_of, build_text_index
+from lectern.operators.vector_index import DIGITS, VectorIndex
 
 # The weights, boosts and query words of the fused score.
 VECTOR_WEIGHT, TEXT_WEIGHT, RANK_WEIGHT, RANK_OFFSET = 0.70, 0.20, 0.05, 60
@@ -40,7 +42,8 @@ class Query:
     text_candidates: int = 50
 
     def __post_init__(self) -> None:
-        check_request(top_k=self.top_k)
+        if self.top_k < 1:
+            raise ValueError("top_k must be 1 or more")
 
 
 def filtered(chunks: DataFrame, filters: tuple[tuple[str, object], ...]) -> DataFrame:
@@ -128,21 +131,32 @@ def english_matches(index: DataFrame, text: str, everything: DataFrame) -> DataF
     return found.select("id", rank_of_places(clauses)("found").alias("text_score")).where("text_score is not null")
 
 
-def text_leg(chunks: DataFrame, text: str, limit: int, analyzer: str = "english", id_col: str = "id", index: DataFrame | None = None) -> DataFrame:
+def indexed_text(chunks: DataFrame, path: str, id_col: str = "id") -> TextIndex:
+    """Write an index of the chunks' search text, for text_leg and hybrid_search."""
+    return build_text_index(chunks, search_text(), path, id_col)
+
+
+def text_leg(
+    chunks: DataFrame, text: str, limit: int, analyzer: str = "english", id_col: str = "id", index: DataFrame | TextIndex | None = None, filters: tuple[tuple[str, object], ...] = ()
+) -> DataFrame:
     """(id, text_score, text_rank) of the best matches, ties by id; none for a query without a word.
 
-    index is a stored inverted table of all chunks; without one the lexemes of the query are looked up in the texts.
+    chunks are filtered by filters already. index is a stored index or inverted table of all chunks, beside which chunks are read
+    only where there are filters; without one the lexemes of the query are looked up in the texts.
     """
     none = chunks.select(F.col(id_col).alias("id"), F.lit(0.0).alias("text_score")).where(F.lit(False))
     if not text.strip() or (analyzer == "english" and not parse_query(text)):
         scored = none
+    elif isinstance(index, TextIndex):
+        allowed = chunks.select(F.col(id_col).alias("id")) if filters else None
+        scored = (index.english_top if analyzer == "english" else index.simple_top)(text, limit, allowed)
     elif analyzer == "english":
         ids = chunks.select(F.col(id_col).alias("id"))
-        found = english_index(chunks, lexemes_of(parse_query(text)), id_col) if index is None else index.join(ids, "id", "left_semi")
+        found = english_index(chunks, lexemes_of(parse_query(text)), id_col) if index is None else index.join(ids, "id", "left_semi") if filters else index
         scored = english_matches(found, text, ids)
     else:
         scored = chunks.select(F.col(id_col).alias("id"), simple_score(text)(search_text()).alias("text_score")).where("text_score is not null")
-    top = scored.orderBy(F.desc("text_score"), "id").limit(limit)
+    top = best_of(scored, limit)
     return top.withColumn("text_rank", F.row_number().over(Window.orderBy(F.desc("text_score"), "id")).cast("long"))
 
 
@@ -178,16 +192,28 @@ def fused_score() -> Column:
     )
 
 
-def score_candidates(chunks: DataFrame, query: Query, analyzer: str = "english", index: DataFrame | None = None) -> DataFrame:
-    """Every candidate of either leg with all parts of its score.
+def score_candidates(chunks: DataFrame, query: Query, analyzer: str = "english", index: DataFrame | TextIndex | None = None, vectors: VectorIndex | None = None) -> DataFrame:
+    """Every candidate of either leg with all parts of its score. index: a stored text index; vectors: one of vectors, read in its exact mode.
 
     least() passes over nulls here as in the ranking that this follows: a candidate of the vector leg alone
     has a text score of 1, one of the text leg alone a vector similarity of 0.
     """
     kept = filtered(chunks, query.filters)
-    vector = vector_leg(kept, query.vector, max(query.top_k, query.vector_candidates))
-    text = text_leg(kept, query.text, max(query.top_k, query.text_candidates), analyzer, index=index)
+    vector_limit, text_limit = max(query.top_k, query.vector_candidates), max(query.top_k, query.text_candidates)
+
+    def vector_hits() -> DataFrame:
+        if vectors is None:
+            return vector_leg(kept, query.vector, vector_limit)
+        return vectors.nearest(query.vector, vector_limit, exact=True, allowed=kept if query.filters else None)
+
+    with ThreadPoolExecutor(1) as beside:  # a leg with an index asks it at once; both legs do so side by side
+        waiting = beside.submit(vector_hits)
+        text = text_leg(kept, query.text, text_limit, analyzer, index=index, filters=query.filters)
+        vector = waiting.result()
     legs = vector.join(text, "id", "full_outer")  # the distinct union of both with their scores; each leg runs once
+    if vectors is not None or isinstance(index, TextIndex):  # few ids, told to the scan of chunks: stored by id, a few row groups are read
+        rows = legs.collect()  # at most the two limits together
+        legs, chunks = chunks.sparkSession.createDataFrame(rows, legs.schema), chunks.where(F.col("id").isin([r["id"] for r in rows]))
     bounded = F.broadcast(legs)  # at most the two limits together
     return chunks.join(bounded, "id").select(
         *chunks.columns, F.coalesce("vector_similarity", F.lit(0.0)).alias("vector_similarity"), F.coalesce(F.least("text_score", F.lit(1.0)), F.lit(0.0)).alias("text_score"),
@@ -195,9 +221,9 @@ def score_candidates(chunks: DataFrame, query: Query, analyzer: str = "english",
     ).withColumn("similarity", fused_score())
 
 
-def hybrid_search(chunks: DataFrame, query: Query, analyzer: str = "english", index: DataFrame | None = None) -> DataFrame:
-    """The top_k chunks by fused score; ties by vector similarity, text score and id. index: a stored inverted table for the english analyzer."""
-    scored = score_candidates(chunks, query, analyzer, index)
+def hybrid_search(chunks: DataFrame, query: Query, analyzer: str = "english", index: DataFrame | TextIndex | None = None, vectors: VectorIndex | None = None) -> DataFrame:
+    """The top_k chunks by fused score; ties by vector similarity, text score and id. index, vectors: as for score_candidates."""
+    scored = score_candidates(chunks, query, analyzer, index, vectors)
     return scored.orderBy(F.desc("similarity"), F.desc("vector_similarity"), F.desc("text_score"), "id").limit(query.top_k)
 
 
@@ -247,7 +273,7 @@ def _nearest(queries: Broadcast, limit: int, rows: int = 1024):
                 if v.shape[1] != asked.shape[1]:
                     raise ValueError(f"vectors have {v.shape[1]} and queries {asked.shape[1]} dimensions")
                 scale = lengths[:, None] * np.linalg.norm(v, axis=1)[None, :]
-                value = np.maximum(0.0, np.divide(asked @ v.T, scale, out=np.zeros_like(scale), where=scale > 0))
+                value = np.round(np.maximum(0.0, np.divide(asked @ v.T, scale, out=np.zeros_like(scale), where=scale > 0)), DIGITS)
                 top, top_id = np.hstack([top, value]), np.hstack([top_id, np.broadcast_to(part["id"].to_numpy(), value.shape)])
                 order = np.lexsort((top_id, -top), axis=1)[:, :limit]
                 top, top_id = np.take_along_axis(top, order, 1), np.take_along_axis(top_id, order, 1)

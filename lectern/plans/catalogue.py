@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.functions.vectors import l2_normalize
 from lectern.operators import chunking, conversation, hybrid, ingest, records
-from lectern.plans import manuals, tables
+from lectern.plans import manuals, retrieval, tables
+from lectern.plans.indexes import indexes_of
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = manuals.QUERIES | tables.QUERIES
-ORACLES: dict[str, str] = manuals.ORACLES | tables.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = manuals.QUERIES | tables.QUERIES | retrieval.QUERIES
+ORACLES: dict[str, str] = manuals.ORACLES | tables.ORACLES | retrieval.ORACLES
 
 
 def query(oracle: str | None = None):
@@ -51,6 +52,11 @@ def chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def indexed(spark: SparkSession, sf_dir: str):
+    """The chunks with stored indexes of their texts and vectors, written once for the tables as they are."""
+    return indexes_of(chunks_of(spark, sf_dir), [table(spark, sf_dir, n) for n in ("documents", "embeddings")], sf_dir)
+
+
 _CHUNKS = f"""
     q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = {ASKED}),
     chunks AS (SELECT doc_id AS id, source || '.txt' AS source, ['section', 'faq', 'procedure'][doc_id % 3 + 1] AS chunk_type,
@@ -152,8 +158,9 @@ def postings_stats(spark, sf_dir):
     WHERE list_contains(tk, 'that') AND list_contains(tk, 'with') ORDER BY tf DESC, id LIMIT 50"""
 )
 def postings_search(spark, sf_dir):
-    """Chunks that hold all terms, by the inverted table."""
-    return hybrid.postings_match(hybrid.postings(chunks_of(spark, sf_dir), only=["that", "with"]), ["that", "with"], 50)
+    """P5, L2: chunks that hold all terms, by the stored index."""
+    found = indexed(spark, sf_dir).text.count_top(["that", "with"], 50)
+    return found.select("id", F.lit(2).cast("long").alias("matched"), F.col("text_score").cast("int").alias("tf"))
 
 
 @query(f"WITH {_legs(*_ONE)} SELECT id FROM vm UNION SELECT id FROM tm")
@@ -209,7 +216,8 @@ def hybrid_blank_query(spark, sf_dir):
 
 #: A question for the english analyzer and the tokens of the given tables that its two lexemes stand for.
 ENGLISH = "tions esnted"
-_STEMS = "CASE WHEN token IN ('tion', 'tions', 'tioned', 'tioning', 'tiones') THEN 'tion' WHEN token IN ('esnt', 'esnts', 'esnted', 'esnting', 'esntes') THEN 'esnt' END"
+_ENDINGS = "(s|ed|es|ing|ly|(ed|ing)(ly)?|ly(ed|ing|s)?)?"
+_STEMS = f"CASE WHEN regexp_full_match(token, 'tion{_ENDINGS}') THEN 'tion' WHEN regexp_full_match(token, 'esnt{_ENDINGS}') THEN 'esnt' END"
 _PLACES = f"""tokens AS (SELECT id, unnest(tk) AS token, unnest(range(1, len(tk) + 1)) AS place FROM (SELECT id, {_TOKENS} AS tk FROM chunks)),
     found AS (SELECT id, {_STEMS} AS lexeme, place FROM tokens WHERE {_STEMS} IS NOT NULL)"""
 _COVERS = """steps AS (SELECT id, place - lag(place) OVER w AS gap, lexeme <> lag(lexeme) OVER w AS cover FROM found WINDOW w AS (PARTITION BY id ORDER BY place)),
@@ -242,8 +250,9 @@ def english_syntax(spark, sf_dir):
 
 @query(_hybrid(ENGLISH, "false", "0.0::DOUBLE").replace("t AS (SELECT id, 0.0::DOUBLE AS text_score FROM (SELECT id, " + _TOKENS + " AS tk FROM chunks WHERE true) WHERE false", f"{_PLACES}, {_COVERS}, t AS (SELECT id, text_score FROM ranked"))
 def hybrid_english(spark, sf_dir):
-    """The fused ranking with stems and cover density."""
-    return _shown(hybrid.hybrid_search(chunks_of(spark, sf_dir), hybrid.Query(asked_vector(spark, sf_dir), ENGLISH, 10)))
+    """The fused ranking with stems and cover density, from stored indexes of texts and vectors."""
+    i = indexed(spark, sf_dir)
+    return _shown(hybrid.hybrid_search(i.chunks, hybrid.Query(asked_vector(spark, sf_dir), ENGLISH, 10), index=i.text, vectors=i.vectors))
 
 
 @query(

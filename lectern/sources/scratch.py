@@ -5,21 +5,35 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+#: The folders of local sessions that have none set, by application.
+_LOCAL: dict[str, str] = {}
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder of spark.checkpoint.dir, removed when the application ends.
 
-    Where that is unset a local session gets a folder of its own; a cluster has no such folder, so there it raises.
-    """
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where that is unset a local session gets a folder of its own; a cluster has no such folder, so there it raises."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    path = f"{found.rstrip('/')}/lectern/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if found:
+        return found.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="lectern-")
+    return _LOCAL[context.applicationId]
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, removed when the application ends."""
+    path = f"{scratch_dir(spark)}/lectern/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: it is made once, and lost executors do not undo it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -139,8 +139,9 @@ def test_requests():
     for bad in ({"question": " \n"}, {"top_k": 0}, {"top_k": 21}, {"title": ""}, {"title": "x" * 201}, {"limit": 501}, {"limit": 0}):
         with pytest.raises(ValueError):
             check_request(**bad)
+    assert hybrid.Query([1.0], "", 21).top_k == 21  # the service limits requests, the ranking does not
     with pytest.raises(ValueError):
-        hybrid.Query([1.0], "", 21)
+        hybrid.Query([1.0], "", 0)
 
 
 def test_stored_english_index(spark, tmp_path):

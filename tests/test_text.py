@@ -92,3 +92,41 @@ def test_queries_and_ranks():
     near = lexical.cover_density("mill race", lexical.parse_query("mill race"))
     far = lexical.cover_density("mill one two three race", lexical.parse_query("mill race"))
     assert near > far > 0
+
+
+# Words with the stems that the Snowball rules for English give them.
+STEMS = """consigned consign consignment consign consistency consist consolations consol consolatory consolatori consolidating consolid conspicuously conspicu
+conspirators conspir constables constabl constancy constanc knackeries knackeri knavish knavish kneaded knead kneeling kneel knightly knight knocker knocker
+generally general communication communic hopping hop hoping hope happy happi cries cri ties tie by by say say national nation relational relat skies sky dying die
+agreed agre university univers falling fall beautiful beauti news news proceed proceed inning inning sensational sensat adoption adopt traditional tradit yoyo yoyo
+luxuriating luxuri hesitancy hesit gaps gap this this kiwis kiwi activate activ radically radic  analogies analog""".split()
+
+
+def test_stems():
+    from lectern.functions.lexical import stem
+
+    assert {w: stem(w) for w in STEMS[::2]} == dict(zip(STEMS[::2], STEMS[1::2]))
+
+
+def test_byte_pair_tokens_equal_the_library(tmp_path):
+    import base64
+    import pickle
+    import random
+
+    import public_tokenizers
+    import tiktoken
+
+    from lectern.functions.byte_pairs import BytePairTokens
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    own = pickle.loads(pickle.dumps(BytePairTokens.from_file(path, public_tokenizers.PATTERN)))
+    with open(path, "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(2)
+    texts = ["", " ", "Permit's issued; see §4(b) – naïve café 漢字 😀", "a" * 3000, "ab" * 500 + "\n\n  x", "<|endoftext|>"]
+    texts += ["".join(rng.choice("aeiou th sn.,'12é漢\n") for _ in range(rng.randrange(200))) for _ in range(400)]
+    for text in texts:
+        ids = library.encode_ordinary(text)
+        assert own.split(text) == [library.decode_single_token_bytes(i) for i in ids] and own.count(text) == len(ids)
+    assert own.join(own.split("漢字")[:1]) == library.decode(library.encode_ordinary("漢字")[:1])

@@ -91,10 +91,13 @@ class Part:
             if tag not in ("html", "body", "main"):
                 names = _STATE.sub(" ", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())
                 match = _BAD_NAME.search(names) or (not self.inside and _HEADER_NAME.search(names))
+                subject = tag == "article" and not (above is not None and above.inside)  # an outer article's name tells what it is about
+                if subject and not any(_BAD_NAME.fullmatch(x) for x in names.split()):
+                    match = None
                 if _BAD_ROLE.search(attrs.get("role", "").lower()):
                     named = True
                 elif match:
-                    doubted = not named and _BAD_NAME.search(_DOUBTFUL.sub(" ", names)) is None
+                    doubted = not named and (subject or _BAD_NAME.search(_DOUBTFUL.sub(" ", names)) is None)
                     named = True
                 elif _GOOD_NAME.search(names):
                     self.good = True

@@ -174,6 +174,22 @@ def test_names_that_may_mean_the_article():
     assert web.main_text(f"<article><p>Only a short one here.</p></article><section class='comments'>{two}</section>") == "Only a short one here."
 
 
+ARTICLE_NAMES = (
+    "cookie-recipe login-guide menu-of-the-day nav-history comments-policy-story share-price-news newsletter-archive ad-industry subscriber-story sidebar-layout-main social-housing ad_story"
+).split()
+
+
+@pytest.mark.parametrize("name", ARTICLE_NAMES)
+def test_an_article_is_not_lost_by_its_name(name):
+    """The name of an outer article tells its subject; that of a comment inside one still tells what it is."""
+    told = [f"Paragraph {k} of the piece says something at length about its subject, and it ends with a full stop." for k in range(4)]
+    body = "".join(f"<p>{x}</p>" for x in told)
+    page = f"<html><body><nav><a href='/'>Home</a><a href='/b'>News</a></nav><article class='{name}'>{body}</article><footer>Rights reserved</footer></body></html>"
+    assert web.main_text(page) == "\n".join(told)
+    inner = page.replace("</article>", "<section class='comments'><article class='comment'><p>I read this and I do not agree with any of it at all.</p></article></section></article>")
+    assert "do not agree" not in web.main_text(inner)
+
+
 def test_the_cut_decides():
     """Blocks that the classifier alone would label the other way than those around them."""
     long = "<p>A paragraph of plain words that is long enough to be told as main text at once.</p>"

@@ -454,17 +454,17 @@ def incremental_ingest(spark, sf_dir):
 
 
 @query(
-    """WITH i AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), n AS (SELECT count(*) AS d FROM documents),
-    a AS (SELECT count(*) AS k FROM (SELECT DISTINCT doc_id FROM documents) WHERE doc_id NOT IN (SELECT doc_id FROM i))
-    SELECT d AS documents, k AS added, d - k AS skipped, true AS chunks FROM n, a"""
+    "WITH RECURSIVE" + manuals._CHUNKS_SQL + """, f AS (SELECT count(*) AS d, count(*) FILTER (p_partkey % 4 <> 0) AS k FROM part),
+    c AS (SELECT count(*) AS n FROM chunks WHERE source NOT IN (SELECT 'part' || p_partkey || '.txt' FROM part WHERE p_partkey % 4 = 0))
+    SELECT d AS documents, k AS added, d - k AS skipped, n AS chunks, n AS chunks_added FROM f, c"""
 )
 def ingest_counters(spark, sf_dir):
-    """A1."""
-    found = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"))
-    marks = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("source"), F.when(F.col("quality") == 1, "indexed").otherwise("failed").alias("status"))
+    """A1: manuals seen, added, skipped, and chunks written, where every fourth is indexed already and others have failed before."""
+    found = manuals.manuals(spark, sf_dir)
+    name = F.concat(F.lit("part"), "p_partkey", F.lit(".txt"))
+    marks = table(spark, sf_dir, "part").select(name.alias("source"), F.when(F.col("p_partkey") % 4 == 0, "indexed").otherwise("failed").alias("status"))
     fresh = ingest.new_documents(found, ingest.indexed_sources(marks), "source")
-    chunks = chunking.chunk_documents(_documents(spark, sf_dir).join(fresh.select(F.concat(F.lit("doc"), "source", F.lit(".txt")).alias("source")), "source", "left_semi"))
-    return ingest.ingest_counters(found, fresh, chunks).withColumn("chunks", F.col("chunks") >= F.col("added")).drop("chunks_added")
+    return ingest.ingest_counters(found, fresh, chunking.chunk_documents(fresh, manuals.MOST, 0))
 
 
 @query(

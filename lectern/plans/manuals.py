@@ -132,13 +132,42 @@ def manual_chunks(spark, sf_dir):
     return chunks.select("source", "chunk_index", "chunk_type", "section_heading", "page_start", "page_end", "content", "token_estimate", F.array_join("metadata.unit_types", ",").alias("unit_types"), F.array_join(F.col("metadata.table_indexes").cast("array<string>"), ",").alias("table_indexes"))
 
 
+OVERLAP = 25
+#: The same packing where a chunk begins with the end of the one before: a chunk is a range of units, begun anew where a tail within the overlap and the room starts.
+_FIRST = "list_filter(range({0}, i + 2), lambda k: {1})[1]"
+_TAIL = "coalesce(list_sum(sz[k:i]), 0)"
+_OVERLAPS_SQL = rf""" {_UNITS},
+    pieces AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n) AS i, {_COUNT.format('body')} AS size
+        FROM (SELECT *, CASE WHEN context IS NULL THEN text WHEN text = '' THEN context ELSE context || chr(10) || chr(10) || text END AS body FROM units)),
+    arr AS (SELECT source, any_value(profile) AS profile, list(size ORDER BY i) AS sz, list(heading ORDER BY i) AS hs, list(body ORDER BY i) AS bs, list(page ORDER BY i) AS ps, count(*) AS m FROM pieces GROUP BY source),
+    packed AS (SELECT source, CAST(1 AS BIGINT) AS i, 0 AS chunk, CAST(1 AS BIGINT) AS s, CAST(NULL AS VARCHAR) AS lead, CAST(NULL AS VARCHAR) AS lead_of FROM arr
+        UNION ALL SELECT source, i + 1, CASE WHEN flush THEN chunk + 1 ELSE chunk END, CASE WHEN NOT flush THEN s WHEN lined THEN behind ELSE t2 END,
+            CASE WHEN NOT flush THEN lead WHEN lined THEN label WHEN kept THEN lead END, CASE WHEN NOT flush THEN lead_of WHEN lined THEN over WHEN kept THEN lead_of END
+        FROM (SELECT *, behind IS NOT NULL AND label IS NOT NULL AND NOT coalesce(kept AND lead = label, false) AND NOT coalesce(list_contains(bs[t2:i], label), false) AS lined FROM (
+            SELECT *, {_FIRST.format('t2', f"{_COUNT.format('label')} + {_TAIL} <= {MOST} - size")} AS behind FROM (
+                SELECT *, whole AND used <= {MOST} - size AS kept, coalesce({_FIRST.format('t1', f'{_TAIL} <= {MOST} - size')}, i + 1) AS t2 FROM (
+                    SELECT *, CASE WHEN whole THEN s ELSE least(coalesce({_FIRST.format('s', f'{_TAIL} <= {OVERLAP}')}, i), i) END AS t1,
+                        CASE profile WHEN 'section' THEN 'Section: ' || over WHEN 'procedure' THEN 'Procedure: ' || over END AS label,
+                        used + size > {MOST} OR coalesce(over <> heading AND used >= {MOST} * CASE profile WHEN 'faq' THEN 0.25 ELSE 0.45 END, false) AS flush FROM (
+                        SELECT k.*, a.* EXCLUDE (source), sz[i + 1] AS size, hs[i + 1] AS heading, coalesce(list_filter(hs[s:i], lambda x: x IS NOT NULL)[-1], lead_of) AS over,
+                            coalesce({_COUNT.format('lead')}, 0) + list_sum(sz[s:i]) AS used, lead IS NOT NULL AND {_COUNT.format('lead')} + list_sum(sz[s:i]) <= {OVERLAP} AS whole
+                        FROM packed k JOIN arr a ON k.source = a.source WHERE i < m)))))),
+    ended AS (SELECT source, chunk, max(i) AS i, arg_max(s, i) AS s, arg_max(lead, i) AS lead, arg_max(lead_of, i) AS lead_of FROM packed GROUP BY source, chunk)"""
+
+
+def manual_overlaps(spark, sf_dir):
+    """Chunks of at most 60 tokens that begin with up to 25 tokens of the one before, and with the heading that goes on."""
+    chunks = chunking.chunk_documents(manuals(spark, sf_dir), MOST, OVERLAP)
+    return chunks.select("source", "chunk_index", "section_heading", "page_start", "page_end", "content", "token_estimate")
+
+
 def manual_subclauses(spark, sf_dir):
     """the parts of every manual's text at its subclauses."""
     docs = manuals(spark, sf_dir).select("source", F.col("pages")[0]["text"].alias("text"))
     return docs.select("source", F.posexplode(T.split_subclauses(F.col("text"))).alias("n", "part"))
 
 
-QUERIES = {f.__name__: f for f in (manual_lines, manual_profiles, manual_units, manual_chunks, manual_subclauses)}
+QUERIES = {f.__name__: f for f in (manual_lines, manual_profiles, manual_units, manual_chunks, manual_overlaps, manual_subclauses)}
 ORACLES = {
     "manual_lines": f"WITH {_LINES} SELECT source, profile, n, line, cleaned AS heading, clause AND profile <> 'faq' AS clause, question, numbered, answer, context FROM lines",
     "manual_profiles": f"WITH {_MANUALS} SELECT source, profile FROM m",
@@ -146,6 +175,9 @@ ORACLES = {
     "manual_chunks": rf"""WITH RECURSIVE {_CHUNKS_SQL}, told AS (SELECT *, CASE WHEN lead IS NULL THEN body ELSE lead || chr(10) || chr(10) || body END AS content, CASE WHEN lead IS NULL THEN types ELSE list_sort(list_append(types, 'context')) END AS kinds FROM chunks)
         SELECT source, chunk AS chunk_index, CASE WHEN profile <> 'section' THEN profile WHEN kinds = ['heading'] THEN 'heading' WHEN list_contains(kinds, 'table') AND len(list_filter(kinds, lambda x: x NOT IN ('table', 'heading', 'context'))) = 0 THEN 'table' ELSE 'section' END AS chunk_type,
         section_heading, page_start, page_end, content, {_COUNT.format('content')} AS token_estimate, array_to_string(kinds, ',') AS unit_types, coalesce(array_to_string(tables, ','), '') AS table_indexes FROM told""",
+    "manual_overlaps": rf"""WITH RECURSIVE {_OVERLAPS_SQL}, told AS (SELECT e.*, a.profile, coalesce(lead || chr(10) || chr(10), '') || array_to_string(bs[s:i], chr(10) || chr(10)) AS content,
+            coalesce(list_filter(hs[s:i], lambda x: x IS NOT NULL)[-1], lead_of) AS section_heading, list_min(ps[s:i]) AS page_start, list_max(ps[s:i]) AS page_end FROM ended e JOIN arr a ON e.source = a.source)
+        SELECT source, chunk AS chunk_index, section_heading, page_start, page_end, content, {_COUNT.format('content')} AS token_estimate FROM told""",
     "manual_subclauses": rf"""WITH {_MANUALS}, p AS (SELECT source, list_filter(list_transform(string_split(regexp_replace(text, '\s+((?:\([a-zA-Z0-9ivx]+\)|[a-zA-Z]\)|\d+\.)\s)', chr(1) || '\1', 'g'), chr(1)), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS ps FROM m)
         SELECT source, unnest(range(len(ps))) AS n, unnest(ps) AS part FROM p""",
 }

@@ -16,6 +16,7 @@ from lectern.operators import chunking, conversation, ingest, records
 from lectern.plans import manuals
 from lectern.sources import files
 from lectern.sources.scratch import scratch_path
+from lectern.streaming import jobs
 
 NOW = "2024-03-01 00:00:00"
 
@@ -171,11 +172,22 @@ def job_transitions(spark, sf_dir):
     return last.select("id", "status", (F.col("updated_at") - F.col("started_at")).cast("long").alias("took"), F.col("finished_at").isNotNull().alias("ended"), "result", "error")
 
 
+def job_state_stream(spark, sf_dir):
+    """K4 as a stream: the last change of every job, its log read in several batches and its state kept between them."""
+    log = _table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("status"), "event_id", F.col("ts").alias("updated_at"))
+    path, out = scratch_path(spark, "log"), scratch_path(spark, "changes")
+    log.repartition(3, F.col("event_id") % 3).write.parquet(path)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    jobs.run_job_stream(spark, stream, out, scratch_path(spark, "marks"), late="36500 days")  # batches are in no order of time
+    return jobs.last_changes(spark.read.parquet(out)).select("id", "event_id", "status")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (chunk_rows, job_transitions, scanned_texts, parsed_word_files, accepted_uploads, replaced_chunks, document_status, new_sessions, touched_sessions, deleted_messages, point_read, log_lines, preview_summary, public_users, rotated_tokens, audit_rows)
+    for f in (chunk_rows, job_transitions, job_state_stream, scanned_texts, parsed_word_files, accepted_uploads, replaced_chunks, document_status, new_sessions, touched_sessions, deleted_messages, point_read, log_lines, preview_summary, public_users, rotated_tokens, audit_rows)
 }
 ORACLES = {
+    "job_state_stream": "SELECT user_id AS id, event_id, event_type AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC, event_id DESC) AS n FROM events) WHERE n = 1",
     "chunk_rows": "WITH RECURSIVE" + manuals._CHUNKS_SQL + " SELECT sha256(source || ':' || chunk) AS id, sha256(source) AS document_id, chunk AS chunk_index, 8 AS dimensions, 1.0::DOUBLE AS length FROM chunks",
     "job_transitions": """SELECT event_id AS id, ['succeeded', 'failed', 'running'][event_id % 3 + 1] AS status, [3600, 7200, 0][event_id % 3 + 1] AS took, event_id % 3 < 2 AS ended,
         CASE event_id % 3 WHEN 0 THEN 'ok' END AS result, CASE event_id % 3 WHEN 1 THEN 'lost' END AS error FROM events""",

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -128,17 +128,21 @@ def parse_files(files: DataFrame, pdf: PdfParser = pdf_parts) -> DataFrame:
 
 
 def documents(parsed: DataFrame) -> DataFrame:
-    """(source, kind, title, page_count, pages) of parsed files: parts as blocks of their pages; files without text go."""
-    part = parsed.where("error is null").select("name", "kind", F.posexplode("parts").alias("n", "p"))
-    tables = part.where("p.rows is not null")
-    numbered = tables.withColumn("i", F.row_number().over(Window.partitionBy("name").orderBy("n")) - 1)
-    table_blocks = numbered.select("name", "kind", "n", "p.page", T.table_block(F.col("p.rows"), F.col("i")).alias("block")).where("block is not null")
-    text = T.normalize_text(F.col("p.text"))
-    none = F.struct(F.lit("text").alias("type"), text.alias("text"), F.lit(None).cast("int").alias("table_index"), F.array().cast("array<string>").alias("headers"), F.array().cast("array<array<string>>").alias("rows"))
-    text_blocks = part.where("p.rows is null").select("name", "kind", "n", "p.page", none.alias("block")).where("block.text <> ''")
-    pages = text_blocks.unionByName(table_blocks).groupBy("name", "kind", "page").agg(F.sort_array(F.collect_list(F.struct("n", "block")))["block"].alias("blocks"), F.min("n").alias("n"))
-    page = F.struct("n", F.struct("page", F.array_join(F.transform("blocks", lambda b: b["text"]), "\n\n").alias("text"), F.when(F.col("kind") != "txt", F.col("blocks")).alias("blocks")).alias("p"))
-    docs = pages.groupBy(F.col("name").alias("source"), "kind").agg(F.sort_array(F.collect_list(page))["p"].alias("pages"))
+    """(source, kind, title, page_count, pages) of parsed files: parts as blocks of their pages; files without text go.
+
+    Pages are made inside each file's row, in the order of their first parts; tables are numbered through the file.
+    """
+    table = lambda x: x["p"]["rows"].isNotNull()
+    placed = F.transform("parts", lambda p, n: F.struct(n.alias("n"), p.alias("p")))
+    none = lambda x: F.struct(F.lit("text").alias("type"), T.normalize_text(x["p"]["text"]).alias("text"), F.lit(None).cast("int").alias("table_index"), F.array().cast("array<string>").alias("headers"), F.array().cast("array<array<string>>").alias("rows"))
+    made = lambda x, block: F.struct(x["n"].alias("n"), x["p"]["page"].alias("page"), block.cast(BLOCK).alias("block"))
+    texts = F.transform(F.filter(placed, lambda x: ~table(x)), lambda x: made(x, none(x)))
+    tables = F.transform(F.filter(placed, table), lambda x, i: made(x, T.table_block(x["p"]["rows"], i)))
+    kept = F.filter(F.concat(texts, tables), lambda x: (x["block"]["text"] != "") | (x["block"]["type"] == "table"))
+    rows = parsed.where("error is null").select("name", "kind", F.array_sort(kept).alias("all")).where(F.size("all") > 0)
+    blocks_of = lambda page: F.transform(F.filter("all", lambda x: x["page"].eqNullSafe(page)), lambda x: x["block"])
+    page = lambda p: F.struct(p.alias("page"), F.array_join(F.transform(blocks_of(p), lambda b: b["text"]), "\n\n").alias("text"), F.when(F.col("kind") != "txt", blocks_of(p)).alias("blocks"))
+    docs = rows.select(F.col("name").alias("source"), "kind", F.transform(F.array_distinct(F.transform("all", lambda x: x["page"])), page).alias("pages"))
     count = F.nullif(F.size(F.filter("pages", lambda p: p["page"].isNotNull())), F.lit(0))
     return docs.select("source", "kind", T.infer_title(F.col("source"), F.col("pages")).alias("title"), count.alias("page_count"), "pages")
 

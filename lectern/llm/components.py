@@ -12,7 +12,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every end of an edge (a, b): root is the smallest node that can be reached.
 
     Each round sends a node's neighbours to its smallest one, so every component shrinks to a star. Smallest
-    neighbours come from partial aggregates and go back by a join, so no node's neighbours meet in one task.
+    neighbours come from partial aggregates; they go back by a join on the node, whose hot keys are left to Spark's skew join.
     Rounds are written to the shared folder; they end when one changes nothing.
     """
     now = write_once(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")

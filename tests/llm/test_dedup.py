@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import defaultdict
 
 import duckdb
@@ -383,3 +384,20 @@ def test_clean_documents(spark, odd_docs):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in odd_docs.collect() if r.doc_id not in (1, 2, 9))
     nameless = decontaminate(odd_docs, benchmark.where("item_id is null and text is not null"))
     assert nameless.where("n_hit > 0 and n_items = 0").count() == nameless.where("n_hit > 0").count()
+
+
+def test_places_of_repetitive_passages(monkeypatch):
+    """The automaton places tokens as the table of runs does, and a word repeated very often costs linear time."""
+    rng = np.random.default_rng(4)
+    for size in (1, 5, 40, 150):
+        for letters in (1, 2, 3, 9):
+            a, b = rng.integers(0, letters, size), rng.integers(0, letters, size + 7)
+            if size > 20:
+                b[5:25] = a[:20]
+            monkeypatch.setattr(sub, "MANY", 10**9)
+            want = sub.places(a, b)
+            monkeypatch.setattr(sub, "MANY", 0)
+            assert (sub.places(a, b) == want).all()
+    one = np.zeros(60_000, np.int64)
+    began = time.perf_counter()
+    assert (sub.places(one, one) >= 0).all() and time.perf_counter() - began < 20

@@ -158,7 +158,7 @@ def periodic_runs(docs: DataFrame, min_words: int = MIN_TOKENS, exponent: int =
 
 def strongest(runs: Column) -> Column:
     """Of runs sorted by start and period, the first with the greatest length / period, compared exactly; null where there is none."""
-    return F.aggregate(F.slice(runs, 2, 2**31 - 1), F.get(runs, F.lit(0)), lambda best, x: F.when(x["length"] * best["period"] > best["length"] * x["period"], x).otherwise(best))
+    return F.aggregate(runs, F.get(runs, F.lit(0)), lambda best, x: F.when(x["length"] * best["period"] > best["length"] * x["period"], x).otherwise(best))
 
 
 def run_digests(found: DataFrame) -> DataFrame:

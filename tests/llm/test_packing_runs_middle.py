@@ -206,6 +206,13 @@ def test_op12_equals_brute_force(spark):
     assert {r["doc_id"]: tuple(r)[1:] for r in got} == _op12(rows)
 
 
+def test_strongest_run_need_not_be_the_first(spark):
+    texts = ["a " * 30 + "b " * 60, "c d " * 15 + "x y z " + "e " * 50 + "f g h " * 20, "i j k " * 10 + "l " * 30 + "m " * 30]
+    rows = [(1000 + k, t) for k, t in enumerate(texts)]
+    got = run_digests(periodic_runs(spark.createDataFrame(rows, DOCS))).orderBy("doc_id").select("start", "length", "period", "exponent_milli").collect()
+    assert [tuple(r) for r in got] == [(30, 60, 1, 60000), (33, 50, 1, 50000), (30, 30, 1, 30000)]
+
+
 def test_op12_odd_rows(spark, odd_docs):
     rows = run_digests(periodic_runs(with_planted_runs(odd_docs))).collect()
     assert len(rows) == odd_docs.count() and {r["n_runs"] for r in rows if r["doc_id"] in (3, 4, 5)} == {0}

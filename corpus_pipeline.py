@@ -17,7 +17,7 @@ from lectern.llm.exact_dedup import distinct_documents
 from lectern.llm.language_id import UNKNOWN, predict_language, train_language_id
 from lectern.llm.sentencepiece_codec import encode_texts
 from lectern.llm.shared import write_once
-from lectern.llm.simhash import near_duplicates
+from lectern.llm.simhash import simhash_components
 
 #: Language scores below this are rejected, as are texts without a letter.
 MIN_LANGUAGE_SCORE = 0.25
@@ -35,8 +35,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id")
+    """One document, that of the smallest id, of each group whose SimHash fingerprints link."""
+    gone = simhash_components(docs.where("doc_id is not null")).where("doc_id <> component_id").select("doc_id")
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 

@@ -15,6 +15,7 @@ from lectern.llm import language_id as lid
 from lectern.llm import quality
 from lectern.llm.catalogue import QUERIES
 from lectern.llm.linear import fit_hinge
+from lectern.llm.simhash import shingle_fingerprint
 
 SF = "/root/testdata/sf0.01"
 
@@ -260,6 +261,26 @@ def test_pipeline(spark, sf_dir):
     assert all(r.text == rows[r.doc_id].text and r.round_trip for r in out)
 
 
+def test_near_dedup_goes_by_fingerprints(spark):
+    """Near copies by word runs whose fingerprints are far apart stay; those within three bits go, but for the smallest id."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(3000)]
+    base = [rng.choice(words) for _ in range(4000)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:-1], "other"])), (None, " ".join([*base, "end"]))]
+    for k in range(3, 40):
+        rows.append((k, " ".join(rng.choice(words) if rng.random() < 0.015 else w for w in base)))
+    rows += [(50 + k, " ".join(rng.choice(words) for _ in range(60))) for k in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    fp = {d: shingle_fingerprint(t.encode(), 3, 42) for d, t in rows if d is not None}
+    reach = {d: d for d in fp}
+    for _ in fp:
+        for a in fp:
+            reach[a] = min(reach[b] for b in fp if (fp[a] ^ fp[b]).bit_count() <= 3)
+    got = [r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, SF).collect()]
+    wanted = {d for d in fp if reach[d] == d} | {None}
+    assert set(got) == wanted and len(got) == len(wanted) and 2 not in wanted and any(d in wanted for d in range(3, 40))
+
+
 def test_stages_keep_columns(spark, odd_docs, sf_dir):
     docs = odd_docs
     for name, stage in corpus_pipeline.STAGES[:-1]:

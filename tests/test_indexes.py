@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 import time
 
 import numpy as np
@@ -160,6 +161,44 @@ def test_text_index_passes_over_blocks(spark, tmp_path, monkeypatch):
     assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
+def _shuffled_rows(spark, run):
+    """Rows that the stages of run wrote to shuffles."""
+    store, before = spark.sparkContext._jsc.sc().statusStore(), set()
+    stages = lambda: [x for x in (lambda found: [found.apply(k) for k in range(found.size())])(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None))]
+    before = {s.stageId() for s in stages()}
+    run()
+    return sum(s.shuffleWriteRecords() for s in stages() if s.stageId() not in before)
+
+
+def test_text_index_is_built_from_whole_blocks(spark, tmp_path, monkeypatch):
+    """Places are grouped where a block's texts meet: a row for each text and each token of a block is shuffled, not one for each place."""
+    monkeypatch.setattr(text_index, "BLOCK_CHARS", 6000, raising=False)
+    rng = random.Random(5)
+    texts = {k: " ".join(rng.choice(["Ab", "cd", "e-f", "x9"]) for _ in range(rng.choice([0, 1, 400]))) for k in range(60)}
+    chunks = spark.createDataFrame([*texts.items(), (60, None)], "id long, content string").repartition(3)
+    made = []
+    shuffled = _shuffled_rows(spark, lambda: made.append(text_index.build_text_index(chunks, F.col("content"), str(tmp_path / "t"))))
+    want = {}
+    for k, text in texts.items():
+        for n, token in enumerate(text.lower().replace("-", " ").split(), 1):
+            want.setdefault((token, k), []).append(n)
+    rows = made[0].postings.collect()
+    assert {(r.token, i): p for r in rows for i, p in zip(r.ids, r.places)} == want
+    assert all(r.most == max(map(len, r.places)) and r.ids == sorted(r.ids) for r in rows)
+    long_blocks = {r.block for r in rows if r.most > 20}
+    assert len(long_blocks) > 1 and shuffled < sum(map(len, want.values())) / 3
+
+
+def test_postings_are_grouped_where_their_texts_are(spark, monkeypatch):
+    monkeypatch.setattr(hybrid, "POSTINGS_CHARS", 2, raising=False)
+    chunks = spark.createDataFrame([(1, "s", None, "b a b"), (2, None, "h", "b"), (2, "s", "", "b"), (3, "s", "h", None)], "id long, source string, section_heading string, content string")
+    rows = hybrid.postings(chunks)
+    assert {(r.lexeme, r.id): (r.tf, r.positions) for r in rows.collect()} == {("s", 1): (1, [1]), ("b", 1): (2, [2, 4]), ("a", 1): (1, [3]), ("h", 2): (1, [1]), ("b", 2): (2, [2, 2]), ("s", 2): (1, [1])}
+    stats = rows.groupBy("lexeme").agg(F.sum("tf").alias("tf"), F.count("*").alias("chunks"))
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(lexeme#" in plan and not re.search(r"hashpartitioning\(lexeme#\d+, id#", plan)
+
+
 def test_hybrid_search_from_indexes(spark, monkeypatch):
     texts, plain = _texts(spark, 200, 4)
     v, vectors = _clustered(spark, 200)

@@ -401,3 +401,38 @@ def test_places_of_repetitive_passages(monkeypatch):
     one = np.zeros(60_000, np.int64)
     began = time.perf_counter()
     assert (sub.places(one, one) >= 0).all() and time.perf_counter() - began < 20
+
+
+def test_segments_of_many_pairs_at_once_equal_those_one_by_one():
+    """Intervals of all pairs of a batch are merged together, as one pair after another would be."""
+
+    def one_by_one(found, length):
+        found, group = sorted(found, key=lambda x: (x[2], x[0])), []
+        for x in [*found, None]:
+            if group and (x is None or x[2] - group[-1][2] > sub._SHIFT):
+                group.sort()
+                a, e, low, high = group[0][0], group[0][1], group[0][0] - group[0][2], group[0][1] - group[0][2]
+                for s, t, d in group[1:]:
+                    if s > e + length:
+                        yield a, e + length, low, high + length
+                        a, e, low, high = s, t, s - d, t - d
+                    e, low, high = max(e, t), min(low, s - d), max(high, t - d)
+                yield a, e + length, low, high + length
+                group = []
+            group.append(x)
+
+    rng = np.random.default_rng(8)
+    n = 3000
+    pair, a, d = rng.integers(0, 90, n), rng.integers(0, 900, n), rng.integers(-40, 40, n) * rng.integers(1, 4, n)
+    e = a + rng.integers(0, 30, n)
+    got = sorted(zip(*(x.tolist() for x in sub.merged(pair, a, e, d, 12))))
+    assert got == sorted((k, *x) for k in range(90) for x in one_by_one([y[1:] for y in zip(pair.tolist(), a.tolist(), e.tolist(), d.tolist()) if y[0] == k], 12))
+    none = np.zeros(0, np.int64)
+    assert all(len(x) == 0 for x in sub.merged(none, none, none, none, 12))
+
+
+def test_equal_words_are_one_passage_as_verified_finds_them():
+    rng = np.random.default_rng(9)
+    for words, n in ((3, 40), (1, 60), (500, 90), (2, 11), (5, 3), (9, 0)):
+        text = [b"%d" % x for x in rng.integers(0, words, n)]
+        assert list(sub.passages(b" ".join(text), b" ".join(text), 8, 0.8)) == list(sub.verified(text, text, 8, 0.8))

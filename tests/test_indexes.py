@@ -4,8 +4,10 @@ import json
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +57,24 @@ def test_vector_index_exact_equals_all_pairs(spark, tmp_path, monkeypatch):
     assert index.search(asked.where("query_id = 3"), 5, exact=True).count() == 0 and index.search(asked, 0).count() == 0
 
 
+def test_vector_groups_are_compared_in_bounded_slices(monkeypatch):
+    """A full group of rows and questions is never one matrix, and slices change no result."""
+    rng = np.random.default_rng(2)
+    n, m = vector_index.ROW_BLOCK, vector_index.ASKED_BLOCK
+    v, q = rng.normal(size=(n, 4)), rng.normal(size=(m, 4))
+    v[50:5000:7] = v[0]  # ties go by id, over slices too
+    lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, 4), pa.int32()), pa.array(x.ravel()))
+    rows = pa.table({"id": rng.permutation(n), "residual": np.zeros(n), "vector": lists(v)})
+    asked = pa.table({"query_id": np.arange(m), "asked": lists(q), "gap": np.zeros(m), "reach": pa.array([None] * m, pa.float64())})
+    tracemalloc.start()
+    got = vector_index._best(10)(rows, asked)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    monkeypatch.setattr(vector_index, "AT_ONCE", n * m, raising=False)
+    assert got.equals(vector_index._best(10)(rows, asked)) and got.num_rows == 10 * m
+    assert peak < 60 << 20
+
+
 def test_vector_index_bounds_pass_over_cells(spark, tmp_path):
     """The exact mode reads few of the cells where vectors lie in clusters."""
     v, chunks = _clustered(spark, 3000, 6)

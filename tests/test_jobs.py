@@ -52,3 +52,16 @@ def test_batch_form(spark):
     rows = [(1, "queued", 1, _at(0)), (1, "running", 2, _at(3)), (2, "queued", 3, _at(1))]
     got = jobs.job_changes(spark.createDataFrame(rows, LOG).repartition(3), late="1 day").select("id", "status", F.col("event_id")).collect()
     assert {tuple(r) for r in got} == {(1, "running", 2), (2, "queued", 3)}
+
+
+def test_without_timers_no_row_is_too_late_and_nulls_are_least(spark, tmp_path):
+    run = _runner(spark, tmp_path, late="10 minutes")
+    first = [(1, "running", 1, _at(0)), (2, "queued", 2, _at(90)), (5, None, 9, _at(3))]
+    found = run(first, [(2, "queued", 3, _at(91))], [(3, "queued", 4, _at(5)), (1, "succeeded", 5, _at(6)), (2, "failed", 6, _at(7)), (5, "queued", 8, _at(3)), (5, "failed", 7, None)])
+    assert found == {1: ("succeeded", 5, None), 2: ("queued", 3, None), 3: ("queued", 4, None), 5: ("queued", 8, None)}
+
+
+def test_states_without_timers_are_kept_without_python(spark, tmp_path):
+    stream = spark.readStream.schema(LOG).parquet(str(tmp_path))
+    plan = lambda **options: jobs.job_changes(stream, **options)._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" in plan(stuck_after_ms=1) and "TransformWithState" not in plan()

@@ -65,3 +65,10 @@ def test_states_without_timers_are_kept_without_python(spark, tmp_path):
     stream = spark.readStream.schema(LOG).parquet(str(tmp_path))
     plan = lambda **options: jobs.job_changes(stream, **options)._jdf.queryExecution().analyzed().toString()
     assert "TransformWithState" in plan(stuck_after_ms=1) and "TransformWithState" not in plan()
+
+
+def test_timers_follow_a_longer_time_to_be_stuck(spark, tmp_path):
+    _runner(spark, tmp_path, late="10 minutes", stuck_after_ms=30 * 60_000)([(1, "queued", 1, _at(0))])
+    run = _runner(spark, tmp_path, late="10 minutes", stuck_after_ms=120 * 60_000)
+    assert run([(2, "succeeded", 2, _at(60))]) == {1: ("queued", 1, None), 2: ("succeeded", 2, None)}
+    assert run([(2, "succeeded", 3, _at(140))]) == {1: ("failed", 1, jobs.TIMED_OUT), 2: ("succeeded", 3, None)}

@@ -14,9 +14,11 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -37,98 +39,180 @@ HANDED = 0.1
 LOOSE = 1 / 16
 #: A round that saves less than this share of the sequences it opened is the last.
 SAVING = 1 / 1024
-#: Words of a generation whose ids a task remembers, how long they may be, and new words that are tokenized together.
-MEMO, MEMO_CHARS, TOGETHER = 1 << 18, 64, 1 << 14
+#: Words whose ids a task remembers, how long they may be, and new words that are tokenized together.
+MEMO, MEMO_CHARS, TOGETHER = 1 << 19, 64, 1 << 12
 
-#: A space before a sign, letter or digit begins a pre-token of a byte-level vocabulary, whatever stands before it.
-_WORD_SPACE = re.compile(r" (?=[\w!-/:-@\[-`{-~])")
-_OTHER_SPACE = re.compile(r" (?![\w!-/:-@\[-`{-~])")
+#: What a character is to the pattern of a byte-level vocabulary; 0: not known, nothing is cut beside it.
+_LETTER, _DIGIT, _SIGN, _QUOTE, _SPACE, _BREAK = range(1, 7)
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """The kind of each code point: 0 for marks, for rare white space, and where Unicode 3.2 and today's do not agree."""
+    then, of = unicodedata.ucd_3_2_0, {"L": _LETTER, "N": _DIGIT, "P": _SIGN, "S": _SIGN}
+    out = np.zeros(0x110000, np.uint8)
+    out[:0x10000] = [of.get(c, 0) if (c := unicodedata.category(x)[0]) == then.category(x)[0] else 0 for x in map(chr, range(0x10000))]
+    out[list(b"' \t\n\r")] = _QUOTE, _SPACE, _BREAK, _BREAK, _BREAK
+    return out
+
+
+def _solid(kind: np.ndarray) -> np.ndarray:
+    return (kind >= _LETTER) & (kind <= _QUOTE)
+
+
+def _rules() -> np.ndarray:
+    """Whether two kinds side by side are parted. 1: always; 2: if a letter, digit or sign follows; 3: if there is a cut before them."""
+    out = np.zeros((8, 8), np.uint8)
+    for a in range(_LETTER, _BREAK + 1):
+        for b in range(_LETTER, _BREAK + 1):
+            if b >= _SPACE:
+                out[a, b] = 2 if a >= _SPACE else 1
+            elif a >= _SPACE:
+                out[a, b] = 3 if a == _BREAK else 0  # a space goes with what follows it
+            else:
+                out[a, b] = min(a, _SIGN) != min(b, _SIGN) and (a, b) != (_QUOTE, _LETTER)  # 's, 're and the like are words
+    return out.ravel()
+
+
+_RULES = _rules()
+
+
+def sure_cuts(raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Byte offsets, edges among them, at which the pattern of a byte-level vocabulary parts texts laid end to end, whatever else they say.
+
+    The pattern may part them at other places too. What lies between two offsets is parted as it would be alone.
+    """
+    here = np.zeros(len(raw) + 1, bool)
+    here[edges] = True
+    lead = (raw & 0xC0) != 0x80
+    first = here[:-1][lead]
+    kind = _kinds()[np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), "<u4")]
+    rule = np.zeros(len(kind), np.uint8)
+    rule[1:] = _RULES[(kind[:-1] << 3) | kind[1:]]
+    cut = first | (rule == 1)
+    at = np.flatnonzero(rule[:-1] == 2)
+    cut[at] |= _solid(kind[at + 1]) & ~first[at + 1]
+    at = np.flatnonzero(rule == 3)
+    cut[at] |= cut[at - 1]
+    here[:-1][lead] = cut
+    return np.flatnonzero(here)
 
 
 class WordIds:
     """A tokenizer that asks the library once for each distinct word and lays the ids of texts end to end by numpy.
 
-    Words are remembered in two generations: when the younger has MEMO of them it becomes the older, whose words come
-    back as they are met again. New words are tokenized together, as one text; the bytes that each id stands for tell where a word ends.
+    A word is what lies between two sure cuts. Words are remembered as rows of arrays; when there are more than MEMO, the half that most steps
+    have met stays. New words are tokenized together, as one text; the bytes that each id stands for tell where a word ends.
     """
 
     def __init__(self, spec: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.young, self.old = Tokenizer.from_str(spec), {}, {}
+        self.tokenizer, self.rows = Tokenizer.from_str(spec), {}
+        self.laid, self.begin, self.count, self.met = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         made = json.loads(spec)
         split, added = made.get("pre_tokenizer") or {}, made.get("added_tokens") or []
-        spaced = any(" " in x["content"] or x.get("lstrip") or x.get("rstrip") for x in added)
-        self.by_word = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and made.get("normalizer") is None and not spaced
+        plain = all(not re.search(r"\s", x["content"]) and not any(x.get(k) for k in ("lstrip", "rstrip", "single_word")) for x in added) and len({x.get("normalized") for x in added}) < 2
+        self.by_word = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and made.get("normalizer") is None and plain
+        self.added = re.compile(b"|".join(re.escape(x["content"].encode()) for x in sorted(added, key=lambda x: -len(x["content"])))) if added else None
         letters = self.tokenizer.get_vocab()  # a letter of a byte-level vocabulary is a byte
         self.sizes = np.zeros(max(letters.values(), default=0) + 1, np.int64)
         self.sizes[list(letters.values())] = [len(x) for x in letters]
         for x in added:
             self.sizes[x["id"]] = len(x["content"].encode())
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
+    def ids(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
+        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         if not self.by_word:
-            return self._encode(texts)
-        odd = [_OTHER_SPACE.search(x) is not None for x in texts]
-        out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
-        at = [k for k, x in enumerate(odd) if not x]
-        for k, ids in zip(at, self._joined(pc.split_pattern(pa.array([texts[k] for k in at], pa.large_string()), " "))):
-            out[k] = ids
-        at = [k for k, x in enumerate(odd) if x]  # a space before white space does not part words
-        for k, ids in zip(at, self._joined(pa.array([_WORD_SPACE.split(texts[k]) for k in at], pa.large_list(pa.large_string())))):
-            out[k] = ids
-        return out
-
-    def _joined(self, words: pa.Array) -> list[np.ndarray]:
-        """The ids of each list of words: the first as it is, the others after a space."""
-        if not len(words):
-            return []
-        edges = np.asarray(words.offsets, np.int64)
-        flat = words.flatten()
-        first = edges[:-1] - edges[0]
-        coded = flat.dictionary_encode()
-        firsts = self._encode(flat.take(pa.array(first)).to_pylist())
-        ids, sizes = _end_to_end([*self._known(coded.dictionary.to_pylist()), *(x.tobytes() for x in firsts)])
-        code = np.array(coded.indices, np.int64)
-        code[first] = len(coded.dictionary) + np.arange(len(first))
-        begin, sizes = (np.cumsum(sizes) - sizes)[code], sizes[code]
+            return self._encode(texts.to_pylist())
+        if not pc.any(pc.greater(pc.binary_length(texts), 0)).as_py():
+            return [self.laid[:0]] * len(texts)
+        _, offsets, data = texts.buffers()
+        edges = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = data.slice(edges[0], edges[-1] - edges[0])
+        edges = edges - edges[0]
+        cuts = self._cuts(np.frombuffer(data, np.uint8), edges)
+        coded = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts), data]).dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        lasting = self._learn(words)
+        code = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        self.met[code] += 1
+        code = code[np.asarray(coded.indices)]
+        sizes = self.count[code]
         ends = np.cumsum(sizes)
-        laid = ids[np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1])]
-        bounds = np.concatenate([[0], ends])[edges - edges[0]]
-        return [laid[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
-
-    def _known(self, words: list[str]) -> list[bytes]:
-        """The ids of distinct words, each after a space."""
-        known = list(map(self.young.get, words))
-        missing = [w for w, x in zip(words, known) if x is None]
-        found = {w: self.old[w] for w in missing if w in self.old}
-        found.update(self._new([w for w in missing if w not in found]))
-        if len(self.young) + len(found) > MEMO:
-            self.young, self.old = {}, self.young
-        self.young.update((w, x) for w, x in found.items() if len(w) <= MEMO_CHARS)
-        return [found[w] if x is None else x for w, x in zip(words, known)]
-
-    def _new(self, words: list[str]) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
-        for at in range(0, len(words), TOGETHER):
-            part = words[at : at + TOGETHER]
-            ids = self._encode([" " + " ".join(part)])[0]
-            ends = np.cumsum([len(w.encode()) + 1 for w in part])
-            edges = [0, *(4 * (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1)).tolist()]
-            raw = ids.tobytes()
-            out.update(zip(part, (raw[a:b] for a, b in zip(edges, edges[1:]))))
-        return out
+        laid = self.laid[np.repeat(self.begin[code] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        self._forget(*lasting)
+        bounds = np.concatenate([[0], ends])[np.searchsorted(cuts, edges)].tolist()
+        return [laid[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def _cuts(self, raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """The sure cuts of texts; an added token in a text parts it as an edge does, and is not cut itself."""
+        if self.added is None or not self.added.search(raw):
+            return sure_cuts(raw, edges)
+        found = [m.span() for a, b in zip(edges.tolist(), edges[1:].tolist()) for m in self.added.finditer(raw, a, b)]
+        spans = np.array(found, np.int64).reshape(-1, 2)
+        cuts = sure_cuts(raw, np.concatenate([edges, spans.ravel()]))
+        inside = np.searchsorted(spans[:, 0], cuts) - 1  # the last added token that begins before a cut
+        return cuts[(inside < 0) | (cuts >= spans[inside, 1])] if len(spans) else cuts
+
+    def _learn(self, words: list[str]) -> tuple[int, int]:
+        """Make rows for new words, those too long to be remembered last; how many rows and ids may stay."""
+        new = [w for w in words if w not in self.rows]
+        self._add([w for w in new if len(w) <= MEMO_CHARS])
+        lasting = len(self.rows), len(self.laid)
+        self._add([w for w in new if len(w) > MEMO_CHARS])
+        return lasting
+
+    def _add(self, words: list[str]) -> None:
+        if not words:
+            return
+        chars = np.fromiter(map(len, words), np.int64, len(words))
+        kind = _kinds()[np.frombuffer("".join(words).encode("utf-32-le"), "<u4")]
+        last = np.cumsum(chars) - 1
+        first = last + 1 - chars
+        spaced = (kind[first] == _SPACE) & (chars > 1)
+        plain = _solid(kind[last]) & _solid(kind[first + spaced])  # parted from a word before it by its own space, or by a line break
+        begin, count, parts, at = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [self.laid], len(self.laid)
+        rows = np.flatnonzero(plain)
+        for lo in range(0, len(rows), TOGETHER):
+            own = rows[lo : lo + TOGETHER]
+            ids = self._encode(["".join(words[k] if words[k][0] == " " else "\n" + words[k] for k in own.tolist())])[0]
+            size = np.fromiter((len(words[k].encode()) for k in own.tolist()), np.int64, len(own))
+            ends, reached = np.cumsum(size + ~spaced[own]), np.cumsum(self.sizes[ids])
+            left = np.searchsorted(reached, ends - size, "right")
+            begin[own], count[own] = at + left, np.searchsorted(reached, ends, "right") - left
+            parts.append(ids)
+            at += len(ids)
+        rows = np.flatnonzero(~plain).tolist()
+        for k, ids in zip(rows, self._encode([words[k] for k in rows])):
+            begin[k], count[k] = at, len(ids)
+            parts.append(ids)
+            at += len(ids)
+        self.rows.update(zip(words, range(len(self.rows), len(self.rows) + len(words))))
+        self.laid, self.begin, self.count = np.concatenate(parts), np.concatenate([self.begin, begin]), np.concatenate([self.count, count])
+        self.met = np.concatenate([self.met, np.zeros(len(words), np.int32)])
+
+    def _forget(self, rows: int, laid: int) -> None:
+        """Drop the rows of long words, and where there are too many the half that the fewest steps have met."""
+        while len(self.rows) > rows:
+            self.rows.popitem()
+        self.laid, self.begin, self.count, self.met = self.laid[:laid], self.begin[:rows], self.count[:rows], self.met[:rows]
+        if rows <= MEMO:
+            return
+        stays = np.zeros(rows, bool)
+        stays[np.argsort(self.met, kind="stable")[-(MEMO // 2) :]] = True
+        self.rows = {w: k for k, w in enumerate(compress(self.rows, stays.tolist()))}
+        begin, self.count, self.met = self.begin[stays], self.count[stays], self.met[stays] // 2
+        ends = np.cumsum(self.count)
+        self.begin = ends - self.count
+        self.laid = self.laid[np.repeat(begin - self.begin, self.count) + np.arange(ends[-1])]
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
 
-def _end_to_end(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-
-
 @lru_cache(maxsize=1)
 def _word_ids(spec: str) -> WordIds:
     """A Python worker keeps the tokenizer and the ids of frequent words from one task to its next."""
@@ -143,7 +227,7 @@ def _cut(spec: str, capacity: int, end_id: int, schema: pa.Schema):
         for batch in batches:
             for step in steps(batch, "text"):
                 rows = []
-                for doc_id, ids in zip(step.column("doc_id").to_pylist(), known.ids([x or "" for x in step.column("text").to_pylist()])):
+                for doc_id, ids in zip(step.column("doc_id").to_pylist(), known.ids(pc.fill_null(step.column("text"), ""))):
                     ids = np.concatenate([ids, end])
                     n = len(ids)
                     edges = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lectern.llm import catalogue
+from lectern.llm import catalogue, packing
 from lectern.llm.fill_middle import UNITS, WaveletMatrix, byte_classes, fill_in_middle, restored
 from lectern.llm.packing import Packer, WordIds, pack_documents
 from lectern.llm.periodic import find_runs, least_overlap, periodic_runs, run_digests, with_planted_runs
@@ -40,6 +40,40 @@ def test_word_ids_equal_the_library(spec, spark, sf_dir):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_are_parted_from_signs_and_lines(spec, monkeypatch):
+    """Words glued to signs and line breaks are not tokenized again: before, each of these texts had words of its own."""
+    own = WordIds(spec)
+    asked, library = [], own._encode
+    monkeypatch.setattr(own, "_encode", lambda texts: asked.extend(texts) or library(texts))
+    words = ["alpha", "beta", "gamma", "delta", "été", "漢字"]
+    texts = [f"{a} {a}{x}{b} {b}" for a in words for b in words for x in (".\n", ", ", "!!!\n\n", " (", ").", "\t", "; ")]
+    assert [x.tolist() for x in own.ids(texts)] == [Tokenizer.from_str(spec).encode(t).ids for t in texts]
+    assert sum(map(len, asked)) < 200 < sum(map(len, texts)) // 20
+    asked.clear()
+    own.ids(texts)
+    assert not asked
+
+
+def test_sure_cuts_are_those_of_the_library(spec, monkeypatch):
+    """Every code point of the first plane between others, white space of all kinds before line breaks, added tokens, and small memories."""
+    library, own = Tokenizer.from_str(spec), WordIds(spec)
+    every = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    for pattern in ("a{}b", "1{}1", ".{}.", "'{}s", "a\n {}b", "{}\nc", "a{}\n\nb", "\t{}'t"):
+        texts = [pattern.format(c) for c in every]
+        assert all(x.tolist() == y.ids for x, y in zip(own.ids(texts), library.encode_batch_fast(texts, add_special_tokens=False)))
+    parts = [*"ab 1.'é漢\n\t\r", "  ", "'s", "'ll", "😀", "\u3000", "\xa0", "\x85", "\x1c", "\u0301", "<|endoftext|>", "<|", "endoftext", "|>", "²", "\x00", "x" * 70]
+    rng = random.Random(8)
+    for memo, together in ((packing.MEMO, packing.TOGETHER), (200, 7)):
+        monkeypatch.setattr(packing, "MEMO", memo)
+        monkeypatch.setattr(packing, "TOGETHER", together)
+        for _ in range(6):
+            texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(50))) for _ in range(1000)]
+            for text, ids in zip(texts, own.ids(texts)):
+                assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+            assert len(own.rows) == len(own.begin) <= memo and max(map(len, own.rows)) <= packing.MEMO_CHARS
+    assert own.ids([]) == [] and [len(x) for x in own.ids(["", ""])] == [0, 0]
+
+
 def _check_packing(rows, library, docs, capacity):
     ids = {d: [*library.encode(t or "", add_special_tokens=False).ids, 0] for d, t in docs}
     by_doc, by_sequence = {}, {}

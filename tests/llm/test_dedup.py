@@ -309,6 +309,47 @@ def test_recall_of_near_repeats(spark):
     assert len(planted) > 60 and len(found & planted) >= 0.9 * len(planted)
 
 
+def test_repeats_of_members_that_are_no_heads(spark):
+    """A line stands in all documents, so most signatures have them all; pairs of documents share some words more, which those of least and largest id lack."""
+    rng = random.Random(23)
+    fresh = lambda n: [f"{rng.randrange(10**7)}m" for _ in range(n)]
+    line, texts = fresh(45), {}
+    for k in range(30):
+        more = fresh(8)
+        texts |= {1 + 2 * k: fresh(rng.randint(5, 40)) + line + more + fresh(40), 2 + 2 * k: fresh(rng.randint(5, 40)) + line + more + fresh(40)}
+    texts |= {0: fresh(20) + line + fresh(40), 99: fresh(9) + line + fresh(50)}
+    rows = sub.repeated_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")).collect()
+    found = {(min(r.doc_id, r.match_doc_id), max(r.doc_id, r.match_doc_id)) for r in rows if r.end_word - r.start_word == 53}
+    assert found == {(1 + 2 * k, 2 + 2 * k) for k in range(30)}
+    assert all(abs(r.doc_id - r.match_doc_id) == 1 for r in rows)
+
+
+def test_repeats_at_the_middle_place_of_a_head(spark):
+    rng = random.Random(24)
+    fresh = lambda n: [f"{rng.randrange(10**7)}p" for _ in range(n)]
+    texts, want = {}, set()
+    for k in range(30):
+        line, more = fresh(45), [fresh(51) for _ in range(5)]
+        texts[2 * k] = sum([line + x + fresh(30) for x in more], fresh(10))
+        texts[2 * k + 1] = fresh(20) + line + more[k % 3 + 1] + fresh(20)
+        want.add((2 * k + 1, 20, 116))
+    rows = sub.repeated_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")).collect()
+    assert want <= {(r.doc_id, r.start_word, r.end_word) for r in rows}
+    assert all(texts[r.doc_id][r.start_word : r.end_word] == texts[r.match_doc_id][r.match_start_word : r.match_end_word] for r in rows)
+
+
+def test_near_repeats_of_copies_in_one_document(spark):
+    """A passage and its edited form stand in one document, exact copies of the first in others: the edited form repeats those."""
+    rng = random.Random(25)
+    fresh = lambda n: [f"{rng.randrange(10**7)}s" for _ in range(n)]
+    passage = fresh(120)
+    edited = passage[:60] + ["edit"] + passage[61:]
+    texts = [(0, fresh(30) + passage + fresh(60) + edited + fresh(30))] + [(k, fresh(10) + passage + fresh(10)) for k in range(1, 6)]
+    rows = sub.repeated_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in texts], "doc_id long, text string")).collect()
+    spans = {(r.doc_id, r.start_word, r.end_word) for r in rows} | {(r.match_doc_id, r.match_start_word, r.match_end_word) for r in rows}
+    assert (0, 210, 330) in spans and {(k, 10, 130) for k in range(1, 6)} <= spans
+
+
 def test_common_signatures_are_joined_in_place(spark):
     rng = random.Random(22)
     line = [f"{rng.randrange(10**7)}c" for _ in range(70)]
